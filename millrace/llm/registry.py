@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate
+from millrace.llm import chunks, decontaminate, neardup, tokencount
 
 
 def queries() -> dict:
-    return {"op1_decontamination": decontaminate.op1_decontamination}
+    return {"op1_decontamination": decontaminate.op1_decontamination, "op6_token_counts": tokencount.op6_token_counts, "op8_neardup": neardup.op8_neardup, "op10_chunk_dedup": chunks.op10_chunk_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op8_neardup": neardup.OP8_SQL}
