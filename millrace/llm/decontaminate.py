@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import table, written
+from millrace.llm.storage import bounded_batches, table, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -126,6 +126,7 @@ def _candidates(lengths, bitmap, size):
 def find_items(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, bits: int = 23, doc: str = "doc_id", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_words; occurrences: doc_id, start, len, item_id) of item windows in documents."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     windows = written(items.select(F.col(item).cast("string").alias("item_id"), "text").mapInArrow(_windows(size, shingle), "item_id string, win string, h bigint, off int"), "windows")
     lengths = [r[0] for r in windows.select(F.least(F.lit(shingle), F.size(F.split("win", " "))).alias("k")).distinct().collect()]  # at most `shingle` values
     counts = docs.select("text").mapInArrow(_counts(lengths, _bits(spark, windows.select("h").distinct(), bits)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))

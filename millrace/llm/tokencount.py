@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import table
+from millrace.llm.storage import bounded_batches, table
 
 #: Pieces of which a task keeps the count; then the table starts anew.
 KEPT = 400_000
@@ -107,6 +107,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc: str = "doc_
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
