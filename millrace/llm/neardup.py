@@ -9,8 +9,9 @@ position left out. Candidates are confirmed on full sets.
 
 Equal sets are one class and joined by digest first. Within an index entry only links between different components are
 sought: first each member with the entry's least document (linear in its size), then, after these links are
-confirmed and merged, the pairs of members of different components, in blocks of bounded size. A group of near copies
-of any size so costs about one comparison a member, and no link that could join two components is left out.
+confirmed and merged, the pairs of members of different components, in pairs of blocks of bounded size. Pairs are made and
+confirmed inside a block pair, each in the first entry that holds it; only links leave it. A group of near copies so costs
+about one comparison a member, and no link that could join two components is left out.
 
 Defined cases: null, empty or blank text has an empty set, is linked with nothing and stays; repeated rows with one doc_id
 count as one document; an empty table gives an empty result; other columns are ignored.
@@ -80,7 +81,7 @@ def _entries(parts):
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
             salt = T.mix(np.arange(1, len(parts) + 1, dtype=np.uint64))
             keys = np.stack([T.mix((sig[:, p] * _MULT[p]).sum(axis=1, dtype=np.uint64) + salt[i : i + 1]) for i, p in enumerate(parts)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), len(parts)))], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(len(parts), dtype=np.int32), len(keys))), pa.array(np.repeat(b.column(0).to_numpy(), len(parts)))], ["key", "part", "id"])
 
     return run
 
@@ -108,30 +109,58 @@ def _confirmed(percent: int):
     return run
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x[:, None, :] != y[None, :, :]).sum(axis=2)
+def _slices(t: pa.Table, parts: list[np.ndarray], distance: int, percent: int):
+    """(row, other rows) of an entry's block pair: of different components, near in signature and size, in no earlier entry together."""
+    comp, side, n = t["component"].to_numpy(), t["side"].to_numpy(), t["n"].to_numpy()
+    sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
+    earlier = parts[: t["part"][0].as_py()]
+    two = bool((side == 1).any())
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(comp)),) * 2
+    for i in range(0, len(left), 64):
+        l = left[i : i + 64]
+        near = (sig[l][:, None, :] != sig[right][None, :, :]).sum(axis=2) <= distance
+        near &= (comp[l][:, None] != comp[right]) & (100 * np.minimum(n[l][:, None], n[right]) >= percent * np.maximum(n[l][:, None], n[right]))
+        if not two:
+            near &= l[:, None] < right
+        x, y = np.nonzero(near)
+        x, y = l[x], right[y]
+        for p in earlier:
+            new = ~(sig[x][:, p] == sig[y][:, p]).all(axis=1)
+            x, y = x[new], y[new]
+        for r in np.unique(x).tolist():
+            yield r, y[x == r]
+
+
+def _needed(parts, distance, percent):
+    """The rows of an entry's block pair that have something to compare there."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [np.zeros(0, np.int64)]
+        for r, others in _slices(t, parts, distance, percent):
+            rows += [np.array([r]), others]
+        return t.take(pa.array(np.unique(np.concatenate(rows))))
+
+    return run
 
 
-def _cross(distance: int):
-    """Pairs of an entry's block pair: near signatures, different components."""
+def _links(parts, distance, percent):
+    """The confirmed links of an entry's block pair, from the full sets s of its rows."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comp = t["id"].to_numpy(), t["component"].to_numpy()
-        side = t["side"].to_numpy()
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, VALUES)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(ids)),) * 2
-        a, b = [], []
-        for i in range(0, len(left), 64):
-            l = left[i : i + 64]
-            near = (_distances(sig[l], sig[right]) <= distance) & (comp[l][:, None] < comp[right][None, :])
-            back = (near.shape[0] and left is not right) and (_distances(sig[l], sig[right]) <= distance) & (comp[l][:, None] > comp[right][None, :])
-            for m in (near, back):
-                if m is not False:
-                    x, y = np.nonzero(m)
-                    a.append(ids[l[x]])
-                    b.append(ids[right[y]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+        column = t["s"].combine_chunks()
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, others in _slices(t, parts, distance, percent):
+            own = values[offsets[r] : offsets[r + 1]]
+            for o in np.array_split(others, max(1, len(others) // 64)):
+                them = np.concatenate([values[offsets[i] : offsets[i + 1]] for i in o])
+                found = own[np.minimum(np.searchsorted(own, them), len(own) - 1)] == them
+                both = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(n[o])[:-1]]))
+                o = o[100 * both >= percent * (n[r] + n[o] - both)]
+                a.append(np.minimum(ids[r], ids[o]))
+                b.append(np.maximum(ids[r], ids[o]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
@@ -140,6 +169,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     """The pairs (a, b) of docs (id, text) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     full = docs.join(ids, "id", "left_semi").mapInArrow(_full(k), "id bigint, s array<bigint>")
+    full = full.groupBy("id").agg(F.first("s").alias("s"))
     got = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return written(got.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "confirmed")
 
@@ -149,7 +179,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, distance: in
     texts = docs.select(F.col(doc).alias("doc_id"), "text")
     base = written(texts.mapInArrow(_summaries(k), "doc_id bigint, n bigint, digest binary, sig binary"), "signatures")
     classes = written(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    entries = classes.select("id", "sig").mapInArrow(_entries(index_parts(VALUES, chunks, distance)), "key bigint, id bigint")
+    parts = index_parts(VALUES, chunks, distance)
+    entries = classes.select("id", "sig").mapInArrow(_entries(parts), "key bigint, part int, id bigint")
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).filter("c > 1")
     entries = written(entries.join(shared, "key"), "entries")
     sigs, text_of = classes.select("id", "n", "sig"), texts.withColumnRenamed("doc_id", "id")
@@ -168,16 +199,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, distance: in
     first = components(links)
 
     # what is left of an entry: members of different components
-    member = entries.join(first, "id", "left").select("key", "id", "c", F.coalesce("component", "id").alias("component"))
+    member = entries.join(first, "id", "left").select("key", "part", "id", "c", F.coalesce("component", "id").alias("component"))
     mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    member = member.join(mixed, "key").join(sigs.select("id", "sig"), "id").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).withColumn("bk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    member = member.join(mixed, "key").join(sigs, "id").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).withColumn("bk", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "key", F.least("bk", "other").alias("x"), F.greatest("bk", "other").alias("y"), F.when(F.col("bk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "sig"
+        "key", F.least("bk", "other").alias("x"), F.greatest("bk", "other").alias("y"), "part", F.when(F.col("bk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n", "sig"
     )
-    rest = member.groupBy("key", "x", "y").applyInArrow(_cross(distance), "a bigint, b bigint").distinct()
-    rest = rest.join(sigs.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    rest = written(rest.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "rest")
-    links = links.union(_verify(text_of, rest, k, percent))
+    member = written(member.groupBy("key", "x", "y").applyInArrow(_needed(parts, distance, percent), member.schema), "rest")
+    full = text_of.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_full(k), "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s"))
+    rest = member.join(full, "id").groupBy("key", "x", "y").applyInArrow(_links(parts, distance, percent), "a bigint, b bigint")
+    links = written(links.union(rest), "links")
     of = components(links)
 
     label = classes.join(of, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
