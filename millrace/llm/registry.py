@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import chunks, decontaminate, neardup, tokencount
+from millrace.llm import bytebpe, chunks, decontaminate, langid, neardup, tokencount
 
 
 def queries() -> dict:
-    return {"op1_decontamination": decontaminate.op1_decontamination, "op6_token_counts": tokencount.op6_token_counts, "op8_neardup": neardup.op8_neardup, "op10_chunk_dedup": chunks.op10_chunk_dedup}
+    return {
+        "op1_decontamination": decontaminate.op1_decontamination,
+        "op3_langid": langid.op3_langid,
+        "op4_byte_bpe": bytebpe.op4_byte_bpe,
+        "op6_token_counts": tokencount.op6_token_counts,
+        "op8_neardup": neardup.op8_neardup,
+        "op10_chunk_dedup": chunks.op10_chunk_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
