@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
 from millrace.llm.components import components
-from millrace.llm.storage import table, written
+from millrace.llm.storage import of_ids, table, written
 
 VALUES, DISTANCE, CHUNKS, BLOCK = 32, 19, 10, 512
 _MULT = np.random.default_rng(5).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,7 +168,7 @@ def _links(parts, distance, percent):
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of docs (id, text) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    full = docs.join(ids, "id", "left_semi").mapInArrow(_full(k), "id bigint, s array<bigint>")
+    full = of_ids(docs, ids, "id").mapInArrow(_full(k), "id bigint, s array<bigint>")
     full = full.groupBy("id").agg(F.first("s").alias("s"))
     got = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return written(got.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "confirmed")
@@ -205,8 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, distance: in
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "key", F.least("bk", "other").alias("x"), F.greatest("bk", "other").alias("y"), "part", F.when(F.col("bk") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n", "sig"
     )
+    # small rows with much to do: as many tasks as partitions are set, however few bytes they are
+    member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
     member = written(member.groupBy("key", "x", "y").applyInArrow(_needed(parts, distance, percent), member.schema), "rest")
-    full = text_of.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_full(k), "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s"))
+    full = of_ids(text_of, member.select("id").distinct(), "id").mapInArrow(_full(k), "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s"))
     rest = member.join(full, "id").groupBy("key", "x", "y").applyInArrow(_links(parts, distance, percent), "a bigint, b bigint")
     links = written(links.union(rest), "links")
     of = components(links)

@@ -38,6 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def of_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of df whose `on` is in ids (one column of that name, cheap to read twice): without moving df if there are at most `most` ids, else by a shuffle."""
+    if ids.limit(most + 1).count() <= most:
+        ids = F.broadcast(ids)
+    return df.join(ids, on, "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
