@@ -29,26 +29,27 @@ from pyspark.sql import functions as F
 from millrace.llm.storage import bounded_batches, table
 
 #: Symbols in one recursion; rows kept by one leg of it (symbols times steps); pieces a task remembers.
-SYMBOLS, LEG_ROWS, KEPT = 150_000, 2_000_000, 400_000
+SYMBOLS, LEG_ROWS, KEPT = 300_000, 3_000_000, 1_000_000
 #: Bytes from which a piece takes the steps that contract all pairs of a rank.
 LONG = 64
 
-#: A row knows its next token; k holds rank and position of its pair, so that the least k of a piece is its leftmost pair of least rank.
+#: A row knows its next token; k holds rank and position of its pair, so that the least k of a piece is its leftmost pair of
+#: least rank. Positions run on over all pieces. Neighbours are read off the order in which one thread's joins pass rows on;
+#: the query fails if that order is ever broken.
 _SHORT = """
 create or replace temp table leg as
 with recursive t(step, piece, pos, tok, nxt, live) as (
-  select 0, piece, pos, tok, lead(tok) over (partition by piece order by pos), true from state
+  select * from (select 0, piece, pos, tok, lead(tok) over (partition by piece order by pos), true from state order by pos)
   union all
-  select step + 1, piece, pos, case when k = best then best >> 32 else tok end, case when k = best then next_nxt when next_k = best then best >> 32 else nxt end, best is not null
-  from (
-    select *, min(k) over (partition by piece order by pos rows between unbounded preceding and unbounded following) as best,
-           lag(k) over (partition by piece order by pos) as last_k, lead(k) over (partition by piece order by pos) as next_k, lead(nxt) over (partition by piece order by pos) as next_nxt
-    from (select t.*, (cast(m.rank as bigint) << 32) + pos as k from t left join merges m on m.a = t.tok and m.b = t.nxt where live and step < {steps})
-  ) where best is null or last_k is distinct from best
+  (with s as (select t.*, (cast(m.rank as bigint) << 32) + pos as k from t left join merges m on m.a = t.tok and m.b = t.nxt where live and step < {steps}),
+        l as (select piece, min(k) as best from s group by piece)
+   select step + 1, piece, pos, case when k = best then best >> 32 else tok end, case when k = best then next_nxt when next_k = best then best >> 32 else nxt end,
+          case when last_pos > pos then error('rows out of order') else best is not null end
+   from (select s.*, best, lag(pos) over () as last_pos, lag(k) over () as last_k, lead(k) over () as next_k, lead(nxt) over () as next_nxt from s join l using (piece))
+   where best is null or last_k is distinct from best)
 )
 select piece, pos, tok, live from t where not live or step = {steps}
 """
-
 _LONG = """
 create or replace temp table leg as
 with recursive t(step, piece, pos, tok, live) as (
@@ -87,7 +88,7 @@ class Codec:
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")).findall
         self.byte = np.array([self.tokens[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
         a, b, rank = [], [], []
         least = dict.fromkeys(self.tokens.values(), 1 << 30)
         for token, r in self.tokens.items():
@@ -113,7 +114,7 @@ class Codec:
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         state = pa.table({
             "piece": pa.array(np.repeat(np.arange(len(pieces)), sizes).astype(np.int32)),
-            "pos": pa.array((np.arange(sizes.sum()) - starts).astype(np.int64)),
+            "pos": pa.array((np.arange(sizes.sum()) - (starts if query is _LONG else 0)).astype(np.int64)),
             "tok": pa.array(self.byte[np.frombuffer(b"".join(pieces), np.uint8)]),
         })
         done = []
@@ -122,7 +123,7 @@ class Codec:
             self.db.execute(query.format(steps=max(4, LEG_ROWS // state.num_rows)))
             self.db.unregister("state")
             done.append(self.db.sql("select piece, pos, tok from leg where not live").to_arrow_table())
-            state = self.db.sql("select piece, pos, tok from leg where live").to_arrow_table()
+            state = self.db.sql("select piece, pos, tok from leg where live order by piece, pos").to_arrow_table()
         out = pa.concat_tables(done).sort_by([("piece", "ascending"), ("pos", "ascending")])
         cut = np.searchsorted(out["piece"].to_numpy(), np.arange(1, len(pieces)))
         return np.split(out["tok"].to_numpy(), cut)
