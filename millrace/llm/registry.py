@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bytebpe, chunks, decontaminate, langid, neardup, tokencount
+from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, neardup, tokencount
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op3_langid": langid.op3_langid,
         "op4_byte_bpe": bytebpe.op4_byte_bpe,
+        "op5_topk": kdtree.op5_topk,
         "op6_token_counts": tokencount.op6_token_counts,
         "op8_neardup": neardup.op8_neardup,
         "op10_chunk_dedup": chunks.op10_chunk_dedup,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op8_neardup": neardup.OP8_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op5_topk": kdtree.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
