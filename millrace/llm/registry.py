@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, neardup, tokencount
+from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, neardup, suffixdedup, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_byte_bpe": bytebpe.op4_byte_bpe,
         "op5_topk": kdtree.op5_topk,
         "op6_token_counts": tokencount.op6_token_counts,
+        "op7_suffix_dedup": suffixdedup.op7_suffix_dedup,
         "op8_neardup": neardup.op8_neardup,
         "op10_chunk_dedup": chunks.op10_chunk_dedup,
     }
