@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, neardup, suffixdedup, tokencount
+from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, linededup, neardup, suffixdedup, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_line_dedup": linededup.op2_line_dedup,
         "op3_langid": langid.op3_langid,
         "op4_byte_bpe": bytebpe.op4_byte_bpe,
         "op5_topk": kdtree.op5_topk,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op5_topk": kdtree.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
+    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op5_topk": kdtree.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
