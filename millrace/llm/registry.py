@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, linededup, neardup, suffixdedup, tokencount
+import corpus_pipeline
+from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, linededup, neardup, secrets, suffixdedup, tokencount
 
 
 def queries() -> dict:
@@ -15,9 +16,12 @@ def queries() -> dict:
         "op6_token_counts": tokencount.op6_token_counts,
         "op7_suffix_dedup": suffixdedup.op7_suffix_dedup,
         "op8_neardup": neardup.op8_neardup,
+        "op9_secret_scan": secrets.op9_secret_scan,
         "op10_chunk_dedup": chunks.op10_chunk_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op5_topk": kdtree.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return out | {"op1_decontamination": decontaminate.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op5_topk": kdtree.OP5_SQL, "op8_neardup": neardup.OP8_SQL}
