@@ -35,7 +35,7 @@ from millrace.llm import textops as T
 from millrace.llm.chunks import cut_out
 from millrace.llm.storage import of_ids, table, written
 
-WIDTH, GRAM, SYMBOL, SHARD_BYTES, BUCKET_BYTES, GRAM_BYTES = 200, 32, 8, 64 << 10, 256 << 10, 2 << 20
+WIDTH, GRAM, SYMBOL, SHARD_BYTES, BUCKET_BYTES, GRAM_BYTES = 200, 32, 8, 16 << 10, 48 << 10, 2 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -118,22 +118,25 @@ def stable_order(codes: np.ndarray) -> np.ndarray:
 def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
     """The rows of one shard sorted by `depth` symbols. after: the row one symbol later, or -1 where the text ends."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    order = stable_order(codes)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.concatenate([[0], np.cumsum(codes[order][1:] != codes[order][:-1])])
+    ends = np.flatnonzero(after < 0)
     have = 1
     while have < depth:
         # a text's end sorts before all else, ends among themselves by row
-        ends = np.flatnonzero(after < 0)
         later = rank[after] + n
         later[ends] = np.arange(len(ends))
-        key = rank * (2 * n + 1) + later
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        order = stable_order(later)
+        order = order[stable_order(rank[order])]
+        r, x = rank[order], later[order]
+        new = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (x[1:] != x[:-1]))])
         rank = np.empty(n, np.int64)
         rank[order] = new
         if new[-1] == n - 1:
             break
         after = np.where(after < 0, -1, after[after])
+        ends = np.flatnonzero(after < 0)
         have *= 2
     return order
 
