@@ -1,16 +1,16 @@
 """Line dedup by an exact set-similarity join, in DataFrame expressions only.
 
-A line's set holds its distinct words (runs of non-blank characters, lower-cased). A line goes if an earlier line of the
-corpus, by (doc_id, line number), has a set of Jaccard similarity of at least `percent` / 100, removed or not. Lines without
-words stay.
+A line's set holds its tokens: its distinct runs of `k` words (runs of non-blank characters, lower-cased), or its whole
+sequence if it has fewer. A line goes if an earlier line of the corpus, by (doc_id, line number), has a set of Jaccard
+similarity of at least `percent` / 100, removed or not. Lines without words stay.
 
-Method. Words are ordered by rarity: counts over all lines, kept by hash in RANKS buckets, so that the table has a fixed size; any
-order gives the same result, this one makes prefixes rare. Of a set of n words the first n - ceil(t n) + 1 are its prefix; two
-similar sets share a word of their prefixes. Lines are joined on prefix words under the length bound and the bound by
+Method. Tokens are ordered by rarity: counts over all lines, kept by hash in RANKS buckets, so that the table has a fixed size; any
+order gives the same result, this one makes prefixes rare. Of a set of n tokens the first n - ceil(t n) + 1 are its prefix; two
+similar sets share a token of their prefixes. Lines are joined on prefix tokens under the length bound and the bound by
 position on the overlap that is still possible, and confirmed on full sets.
 
-Equal lines are one class from the start. As a line needs one earlier match only, classes that share a word are first
-compared with that word's earliest document's lines (linear in the group); only classes that found no match are joined
+Equal lines are one class from the start. As a line needs one earlier match only, classes that share a token are first
+compared with that token's earliest document's lines (linear in the group); only classes that found no match are joined
 with all of the group. So a line that a third of all documents hold, as it is or with small changes, makes no pairs of
 all with all.
 
@@ -25,9 +25,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import of_ids, table, written
+from millrace.llm.storage import of_ids, release, table, written
 
-RANKS = 1 << 14
+RANKS = 1 << 16
 _BLANKS = r"[ \t-\r]+"
 _LOW = (1 << 47) - 1
 
@@ -38,10 +38,18 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def _ranks(docs: DataFrame) -> Column:
-    """The rank of each bucket of words, rarest first, as one literal of RANKS numbers."""
-    words = docs.select(F.explode(F.split(F.lower("text"), _BLANKS)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(RANKS - 1).alias("b")).count().collect()  # at most RANKS rows
+def _hashed(lines: DataFrame, k: int) -> DataFrame:
+    """lines with words and the column t: the hashes of the line's tokens."""
+    words = F.split(F.regexp_replace("line", r"^[ \t-\r]+|[ \t-\r]+$", ""), _BLANKS)
+    lines = lines.filter(F.col("line").rlike(r"[^ \t-\r]")).withColumn("w", F.transform(words, lambda w: F.xxhash64(w)))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
+    return lines.withColumn("t", F.when(F.size("w") < k, F.array(F.xxhash64("w"))).otherwise(runs)).drop("w")
+
+
+def _ranks(hashed: DataFrame) -> Column:
+    """The rank of each bucket of tokens, rarest first, as one literal of RANKS numbers."""
+    # outer: a filter that Spark infers for a plain explode would be pushed down and work the tokens out anew for each token
+    counts = hashed.select(F.explode_outer("t").alias("t")).groupBy(F.col("t").bitwiseAND(RANKS - 1).alias("b")).count().collect()  # at most RANKS rows
     n = np.zeros(RANKS, np.int64)
     for b, c in counts:
         n[b] = c
@@ -50,62 +58,69 @@ def _ranks(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """The sorted distinct tokens: rank of the word's bucket above 47 bits of its hash; with the bucket's bits 61 bits tell words apart."""
-    hashed = F.transform(F.filter(F.split(line, _BLANKS), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashed, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(RANKS - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 14).bitwiseAND(_LOW)))))
+def _ordered(ranks: Column) -> Column:
+    """The distinct tokens, rarest first: the rank of a token's bucket (its low 16 bits) above its other 47 bits but one."""
+    token = F.transform("t", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(RANKS - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
+    return F.sort_array(F.array_distinct(token))
 
 
-def removed_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """docs: doc_id, text. (doc_id, no) of the lines to remove."""
-    lines, ranks = _lines(docs), _ranks(docs)
-    sets = lines.select("doc_id", "h1", _tokens(F.col("line"), ranks).alias("t"))
+    spark = docs.sparkSession
+    lines = _lines(docs)
+    hashed = _hashed(lines, k)
+    ranks = _ranks(hashed)
+    sets = hashed.select("doc_id", "h1", _ordered(ranks).alias("t"))
     n = F.size("t")
-    prefixes = sets.filter(n > 0).select("doc_id", "h1", n.alias("n"), F.posexplode(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
-    prefixes = prefixes.groupBy("token", "h1", (F.col("n").cast("long") * (1 << 31) + F.col("pos")).alias("np")).agg(F.min("doc_id").alias("doc"))
-    groups = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.min("doc").alias("least")).filter("c > 1").drop("c")
-    entries = written(prefixes.join(groups, "token").select("token", "h1", "doc", "least", F.floor(F.col("np") / (1 << 31)).alias("n"), (F.col("np") % (1 << 31)).alias("pos")), "prefixes")
-
-    first = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at"))
-    place = written(first, "classes")
+    prefixes = sets.select("doc_id", "h1", n.alias("n"), F.posexplode_outer(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
+    prefixes = written(prefixes.select("token", "h1", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("pos")).alias("np"), F.col("doc_id").alias("doc")), "prefixes")
+    # most tokens are one line's: only those of several stay
+    shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("doc").alias("least")).filter("lo < hi")
+    shared = written(shared.select("token", "least"), "shared")
+    entries = prefixes.join(F.broadcast(shared) if shared.count() <= 1_000_000 else shared, "token")
+    entries = written(entries.groupBy("token", "h1", "np", "least").agg(F.min("doc").alias("doc")), "entries")
+    release(spark, prefixes, shared)
+    place = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
+    release(spark)
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select("token", F.col("h1").alias(f"h{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
+        return df.select("token", F.col("h1").alias(f"h{s}"), F.shiftright("np", 31).alias(f"n{s}"), F.col("np").bitwiseAND((1 << 31) - 1).alias(f"p{s}"), F.col("doc").alias(f"d{s}"))
 
-    def pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    def pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
         """Candidates of two sides under the bounds by length and position."""
-        both = side(left, "a").join(side(right, "b"), "token").filter("ha <> hb")
+        both = side(earlier, "a").join(side(later, "b"), "token").filter("ha <> hb and da <= db")
         need = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent))
-        ahead = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+        ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
         both = both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ahead >= need))
         return both.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct()
 
     def later(found: DataFrame) -> DataFrame:
         """h1, h2 of the later class of each pair that is similar."""
         found = written(found, "candidates")
+        release(spark)
         ids = found.select(F.col("a").alias("h1")).union(found.select("b")).distinct()
         some = of_ids(lines.select("h1", "h2", "line"), ids, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-        some = some.select("h1", "h2", _tokens(F.col("line"), ranks).alias("t")).join(place, ["h1", "h2"])
+        some = written(_hashed(some, k).join(place, ["h1", "h2"]).select("h1", "h2", "at", F.array_distinct("t").alias("t")), "sets")
+        release(spark)
 
         def cols(s: str) -> list[Column]:
             return [F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("t").alias(f"t{s}"), F.col("at").alias(f"at{s}")]
 
-        some = written(some, "sets")
         both = found.join(some.select(cols("a")), "a").join(some.select(cols("b")), "b")
         common = F.size(F.array_intersect("ta", "tb"))
         both = both.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common))
         a_first = F.col("ata") < F.col("atb")
-        return both.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("h1"), F.when(a_first, F.col("b2")).otherwise(F.col("a2")).alias("h2")).distinct()
+        out = written(both.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("h1"), F.when(a_first, F.col("b2")).otherwise(F.col("a2")).alias("h2")).distinct(), "matched")
+        release(spark, found, some)
+        return out
 
-    hubs = entries.filter("doc = least")
-    known = written(later(pairs(hubs, entries)), "matched")
-    open_ = entries.join(known.select("h1").distinct(), "h1", "left_anti")
-    # an open line's match is earlier in its class's first place, so in a document not after its own
-    rest = written(later(pairs(open_.filter("doc > least"), entries)), "matched")
+    known = later(pairs(entries.filter("doc = least"), entries))
+    # an open line's match has its first place in a document not after its own
+    rest = later(pairs(entries, entries.filter("doc > least").join(known.select("h1").distinct(), "h1", "left_anti")))
     matched = known.union(rest).distinct().withColumn("m", F.lit(True))
-    gone = place.join(matched, ["h1", "h2"], "left").filter("c > 1 or m").select("h1", "h2", "at", F.coalesce("m", F.lit(False)).alias("m"))
-    worded = lines.filter(F.col("line").rlike(r"[^ \t-\r]")).select("doc_id", "no", "h1", "h2")
-    return worded.join(written(gone, "repeated"), ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no")
+    gone = written(place.join(matched, ["h1", "h2"], "left").filter("c > 1 or m").select("h1", "h2", "at", F.coalesce("m", F.lit(False)).alias("m")), "repeated")
+    release(spark, entries, place, known, rest)
+    return lines.select("doc_id", "no", "h1", "h2").join(gone, ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no")
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -117,10 +132,10 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return both.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("gone", "lines")
 
 
-def dedup_lines(docs: DataFrame, percent: int = 75, doc: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 75, k: int = 5, doc: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, kept for every document."""
     texts = docs.select(F.col(doc).alias("doc_id"), "text")
-    return without_lines(texts, written(removed_lines(texts, percent), "removed")).select("doc_id", "n_lines", "n_removed", "kept")
+    return without_lines(texts, written(removed_lines(texts, percent, k), "removed")).select("doc_id", "n_lines", "n_removed", "kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +155,8 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 with l as (select doc_id, unnest(range(0, len(ls))) no, unnest(ls) line from (select doc_id, string_split(lower(text), chr(10)) ls from documents where text is not null)),
 c as materialized (select line k, min({'d': doc_id, 'n': no}) f from l group by 1),
-t as materialized (select k, f, unnest(list_distinct(list_filter(regexp_split_to_array(k, '[ \t-\r]+'), lambda w: w <> ''))) w from c),
+ws as (select k, f, list_filter(regexp_split_to_array(k, '[ \t-\r]+'), lambda w: w <> '') w from c),
+t as materialized (select k, f, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end)) w from ws where len(w) > 0),
 n as materialized (select k, any_value(f) f, count(*) n from t group by 1),
 p as (select a.k ka, b.k kb, count(*) o from t a join t b on a.w = b.w and a.k < b.k group by 1, 2),
 m as materialized (select distinct case when x.f < y.f then kb else ka end k from p join n x on x.k = ka join n y on y.k = kb where 100 * o >= 75 * (x.n + y.n - o)),
