@@ -1,5 +1,5 @@
 """Named plans over the driver tables, grouped by topic."""
 
-from millrace.plans import core
+from millrace.plans import core, literals, relational
 
-MODULES = [core]
+MODULES = [core, relational, literals]
