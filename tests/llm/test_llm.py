@@ -1,0 +1,243 @@
+"""Operators of millrace.llm against brute force, libraries and fixtures with nulls, empty and odd texts."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+
+pytest.importorskip("millrace.llm")
+
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+from millrace.llm import bytebpe, chunks, decontaminate, kdtree, langid, linededup, neardup, secrets, suffixdedup, tokencount
+
+ODD = [None, "", " ", "\n\n", "a", "a" * 3000, "é‍👩 12³", "x" + "\x00" + "y", "word " * 700]
+VOCAB = [f"w{i}" for i in range(400)]
+
+
+def frame(spark, texts, **more):
+    """documents with ties, an extra column and a column named like an inner one."""
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", i) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n long").repartition(3)
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+def near(seed):
+    """Groups of near copies of growing distance, exact copies, and unrelated texts."""
+    r, out = random.Random(seed), []
+    for g in range(6):
+        base = prose(seed * 100 + g, 120).split()
+        for edits in (0, 0, 1, 2, 3, 4, 8):
+            ws = list(base)
+            for _ in range(edits):
+                ws[r.randrange(len(ws))] = f"new{r.randrange(10**6)}"
+            out.append(" ".join(ws))
+    return out + [prose(seed + k, 60) for k in range(20)] + ODD + ["one two three", "One two THREE"]
+
+
+def shingle_set(text, k=5):
+    ws = (text or "").encode().lower().split()
+    return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else {tuple(ws)} if ws else set()
+
+
+@pytest.mark.parametrize("block", [512, 4])
+def test_neardup(spark, block):
+    texts = near(3)
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            inter = len(sets[i] & sets[j])
+            if inter and 100 * inter >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, texts), block=block).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == root
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+
+
+def test_decontaminate(spark):
+    items = [prose(9, 25), "only four words here", "", None, prose(9, 25), "w1"]
+    texts = [prose(1, 50) + " " + " ".join(items[0].split()[5:17]).upper() + " z", "Only FOUR, words-here!", *ODD, prose(2, 40)]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), bits=10).collect()}
+    for i, t in enumerate(texts):
+        ws, hit, found = decontaminate.item_words(t), set(), set()
+        for n, it in enumerate(items):
+            iw = decontaminate.item_words(it)
+            w = min(10, len(iw))
+            for a in range(len(iw) - w + 1 if iw else 0):
+                for s in range(len(ws) - w + 1):
+                    if ws[s : s + w] == iw[a : a + w]:
+                        hit |= set(range(s, s + w))
+                        found.add(str(n))
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (len(ws), len(hit), len(found), bool(hit))
+        assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def test_line_dedup(spark):
+    base = prose(5, 60)
+    texts = ["Common line here\n" + base, base.replace("w1 ", "w1 changed ", 1) + "\n\nother", "common  line HERE\nfresh", *ODD, "a\n\n", prose(6, 30) + "\n" + prose(6, 30)]
+    out = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    places = [(i, n, line) for i, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))]
+
+    def tokens(line):
+        ws = [w for w in __import__("re").split(r"[ \t-\r]+", line.lower()) if w]
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} if len(ws) >= 5 else {tuple(ws)} if ws else set()
+
+    kept, removed = {i: [] for i in range(len(texts))}, {i: 0 for i in range(len(texts))}
+    seen = []
+    for i, n, line in places:
+        t = tokens(line)
+        if t and any(100 * len(t & s) >= 75 * len(t | s) for s in seen):
+            removed[i] += 1
+        else:
+            kept[i].append(line)
+        if t:
+            seen.append(t)
+    assert {i: out[i].n_removed for i in out} == removed
+    assert all(out[i].kept == (None if t is None else "\n".join(kept[i])) for i, t in enumerate(texts))
+
+
+def test_language(spark):
+    letters = {"aa": "abcde", "bb": "vwxyz", "cc": "lmnop"}
+    r = random.Random(1)
+    rows = [(i, " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(2, 8))) for _ in range(30)), k) for i, k in enumerate(list(letters) * 60)]
+    rows += [(900 + i, t, None) for i, t in enumerate(ODD)] + [(990, "123 456", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.predict(docs, langid.fit(docs)).collect()}
+    assert np.mean([got[i].lang_pred == k for i, _, k in rows[:180]]) > 0.99
+    assert [got[i].lang_pred for i in (900, 901, 902, 990)] == ["und"] * 4 and got[900].rejected
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert {x.lang_pred for x in langid.predict(docs, langid.fit(docs.filter("lang is null"))).collect()} == {"und"}
+
+
+def test_byte_bpe_matches_library(spark):
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    texts = [*ODD, "ab" * 400, "<|endoftext|> it's", "".join(r.choice("abcdefgh") for _ in range(1500)), *["".join(chr(r.choice([32, 10, 0x85, 0x1C, 39, 97, 115, 0xE9, 0x4E00, 0x1F600, 48])) for _ in range(40)) for _ in range(40)]]
+    for x in bytebpe.encode(frame(spark, texts), path, P.PATTERN, with_ids=True).collect():
+        t = texts[x.doc_id] or ""
+        assert x.ids == enc.encode_ordinary(t) and bytes(x.decoded) == t.encode() and x.n_tokens == len(x.ids)
+        assert x.ids_sha256 == hashlib.sha256(",".join(map(str, x.ids)).encode()).hexdigest()
+
+
+def test_token_counts_match_library(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [*ODD, "<|endoftext|>x<|endoftext|>", "  it's  \r\n\u0085y ", prose(1, 900)]
+    for x in tokencount.count_tokens(frame(spark, texts), path).collect():
+        t = texts[x.doc_id] or ""
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        assert (x.n_tokens, x.n_bytes, x.over_limit) == (n, len(t.encode()), n > 1024)
+
+
+@pytest.mark.parametrize("shard,block", [(16384, 1024), (40, 5)])
+def test_top_k(spark, shard, block):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(200, 6))
+    v[50:90] = v[50]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(300, None), (320, [1.0, None] * 3), (340, [float("nan")] * 6), (360, [float("inf")] * 6)]
+    use = kdtree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in kdtree.top_k(use, use.filter("id % 20 = 0"), shard=shard, block=block).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    q = np.floor(v * 64).astype(np.int64)
+    for i in range(0, 200, 20):
+        best = sorted(((-int(q[i] @ q[j]), j) for j in range(200) if j != i))[:20]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(got) == list(range(0, 200, 20))
+
+
+def brute_removed(raw, width):
+    seen = {}
+    for r in raw:
+        for p in range(len(r) - width + 1):
+            seen[r[p : p + width]] = seen.get(r[p : p + width], 0) + 1
+    out = []
+    for r in raw:
+        m = np.zeros(len(r), bool)
+        for p in range(len(r) - width + 1):
+            if seen[r[p : p + width]] > 1:
+                m[p : p + width] = True
+        out.append(m)
+    return out
+
+
+@pytest.mark.parametrize("gram_bytes", [2 << 20, 400])
+def test_suffix_dedup(spark, monkeypatch, gram_bytes):
+    monkeypatch.setattr(suffixdedup, "GRAM_BYTES", gram_bytes)
+    r = random.Random(2)
+    base = "".join(r.choice("abc é") for _ in range(2500))
+    texts = ["".join(base[a : a + r.randint(50, 400)] for a in r.choices(range(2000), k=r.randint(1, 5))) for _ in range(30)] + ODD
+    masks = brute_removed([(t or "").encode() for t in texts], 200)
+    for x in suffixdedup.dedup_substrings(frame(spark, texts)).collect():
+        raw, m = np.frombuffer((texts[x.doc_id] or "").encode(), np.uint8), masks[x.doc_id]
+        assert (x.n_removed, x.kept_sha256) == (int(m.sum()), hashlib.sha256(raw[~m].tobytes()).hexdigest())
+        assert x.n_spans == int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
+
+
+def test_merged_transforms_in_small_shards():
+    r = random.Random(5)
+    parts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(40)] + [b"a" * 50]
+    flags, offsets = suffixdedup.repeated(parts, width=16, symbol=4, shard_bytes=64)
+    seen = [p[i : i + 16] for p in parts for i in range(len(p) - 15)]
+    want = [i + 16 <= len(p) and seen.count(p[i : i + 16]) > 1 for p in parts for i in range(len(p))]
+    assert flags.tolist() == want
+
+
+def test_chunks_resist_shifts(spark):
+    passage = prose(7, 80)
+    texts = [prose(11, 90) + " " + passage + " " + prose(12, 50), "X" + prose(13, 33) + " " + passage + prose(14, 44), prose(15, 300), passage, *ODD]
+    got = {r.doc_id: r for r in chunks.dedup_chunks(frame(spark, texts)).collect()}
+    assert got[0].n_removed == 0 and got[2].n_removed == 0
+    assert got[1].n_removed > len(passage) * 0.6 and got[3].n_removed > len(passage) * 0.6
+    assert all(got[i].n_bytes == len((t or "").encode()) for i, t in enumerate(texts))
+
+
+def test_secrets(spark):
+    model = secrets.train(secrets.labelled_findings(spark).filter("id % 5 <> 0"))
+    held = secrets.features(secrets.labelled_findings(spark).filter("id % 5 = 0"))
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(held))
+    assert scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
+    key = hashlib.sha1(b"x").hexdigest()
+    texts = [f'the token = "{key}" and', f"commit {key} was", "mail to a@mail2.example.com 4785380592391139", 'password = "your_api_key_here_1"', *ODD]
+    got = {r.candidate for r in secrets.scan(frame(spark, texts), model).filter("secret").collect()}
+    assert got == {key}
+    assert {r.doc_id for r in secrets.scan(frame(spark, texts), model).filter("secret").collect()} == {0}
+
+
+def test_empty_tables(spark):
+    docs = frame(spark, ["x"]).filter("doc_id < 0")
+    items = spark.createDataFrame([], "item_id long, text string")
+    assert not decontaminate.decontaminate(docs, items).collect()
+    assert not linededup.dedup_lines(docs).collect()
+    assert not langid.predict(docs, langid.fit(docs)).collect()
+    assert not neardup.near_duplicates(docs).collect()
+    assert not suffixdedup.dedup_substrings(docs).collect()
+    assert not chunks.dedup_chunks(docs).collect()
+    use = kdtree.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
+    assert not kdtree.top_k(use, use).collect()
+    assert not bytebpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and 0 < len(ids) <= 200
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "byte_bpe"]
