@@ -26,10 +26,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import textops as T
 from millrace.llm.storage import bounded_batches, table
 
 #: Symbols in one recursion; rows kept by one leg of it (symbols times steps); pieces a task remembers.
-SYMBOLS, LEG_ROWS, KEPT = 300_000, 3_000_000, 1_000_000
+SYMBOLS, LEG_ROWS, KEPT = 60_000, 600_000, 160_000
+#: Texts taken apart at a time.
+ROWS = 300
 #: Bytes from which a piece takes the steps that contract all pairs of a rank.
 LONG = 64
 
@@ -88,7 +91,8 @@ class Codec:
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")).findall
         self.byte = np.array([self.tokens[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": True})
+        self.last: set[str] = set()
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "preserve_insertion_order": True})
         a, b, rank = [], [], []
         least = dict.fromkeys(self.tokens.values(), 1 << 30)
         for token, r in self.tokens.items():
@@ -160,12 +164,16 @@ class Codec:
         for p, x, d in zip(pieces, ids, self.decode(ids), strict=True):
             self.known[p] = (len(x), ",".join(map(str, x.tolist())), d)
 
+    def trim(self) -> None:
+        """Keep the last batch's pieces only."""
+        self.known = {p: self.known[p] for p in self.last if p in self.known}
+
     def texts(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
         """(number of ids, ids joined by commas, decoded bytes) of each text."""
         split = [self.split(t) if t else [] for t in texts]
-        pieces = set().union(*split)
+        pieces = self.last = set().union(*split)
         if len(self.known) > KEPT:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
+            self.trim()
         if new := [p for p in pieces if p not in self.known]:
             self.learn(new)
         out = []
@@ -176,6 +184,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+T.CACHES.append(_codecs)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -192,7 +201,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", with_i
     def run(batches):
         own = codec(path, pattern)
         for b in batches:
-            got = own.texts(b.column(1).to_pylist())
+            texts = b.column(1).to_pylist()
+            got = [g for i in range(0, len(texts), ROWS) for g in own.texts(texts[i : i + ROWS])]
             cols = [b.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
@@ -201,7 +211,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", with_i
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(T.tidy(run), schema)
 
 
 def _public(docs: DataFrame) -> DataFrame:

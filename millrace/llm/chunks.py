@@ -84,7 +84,7 @@ def _chunks(params):
 
 def removed_spans(docs: DataFrame, run: int = RUN, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """docs: doc_id, text. doc_id, spans: the runs of later copies, for the documents that have any."""
-    chunks = docs.mapInArrow(_chunks((bits, least, most)), "doc_id bigint, `from` int, `to` int, d1 bigint, d2 bigint")
+    chunks = docs.mapInArrow(T.tidy(_chunks((bits, least, most))), "doc_id bigint, `from` int, `to` int, d1 bigint, d2 bigint")
     many = chunks.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "from")).alias("first")).filter("c > 1").drop("c")
     later = chunks.join(many, ["d1", "d2"]).filter("doc_id <> first.doc_id or `from` <> first.`from`")
     spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("x"))
@@ -115,7 +115,7 @@ def cut_out(docs: DataFrame, spans: DataFrame, tail: str = "") -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, *cols[: 5 if tail else 4]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if tail else 5])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * bool(tail)
-    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    return docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(T.tidy(run), schema)
 
 
 def dedup_chunks(docs: DataFrame, doc: str = "doc_id", **kw) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import bounded_batches, table, written
+from millrace.llm.storage import bounded_batches, table, without_ids, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -127,13 +127,13 @@ def find_items(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int =
     """(documents: doc_id, n_words; occurrences: doc_id, start, len, item_id) of item windows in documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    windows = written(items.select(F.col(item).cast("string").alias("item_id"), "text").mapInArrow(_windows(size, shingle), "item_id string, win string, h bigint, off int"), "windows")
+    windows = written(items.select(F.col(item).cast("string").alias("item_id"), "text").mapInArrow(T.tidy(_windows(size, shingle)), "item_id string, win string, h bigint, off int"), "windows")
     lengths = [r[0] for r in windows.select(F.least(F.lit(shingle), F.size(F.split("win", " "))).alias("k")).distinct().collect()]  # at most `shingle` values
-    counts = docs.select("text").mapInArrow(_counts(lengths, _bits(spark, windows.select("h").distinct(), bits)), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(T.tidy(_counts(lengths, _bits(spark, windows.select("h").distinct(), bits))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rarest = windows.join(counts, "h", "left").groupBy("item_id", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("r"))
     # a window of which a shingle never occurs can't occur
     needed = written(rarest.filter("r.n > 0").select("item_id", "win", F.col("r.h").alias("h"), F.col("r.off").alias("off"), F.size(F.split("win", " ")).alias("len")), "prefix")
-    base = written(docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(_candidates(lengths, _bits(spark, needed.select("h").distinct(), bits), size), "doc_id bigint, n_words bigint, hits array<struct<h:bigint,pos:int,`from`:int,near:string>>"), "hits")
+    base = written(docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(T.tidy(_candidates(lengths, _bits(spark, needed.select("h").distinct(), bits), size)), "doc_id bigint, n_words bigint, hits array<struct<h:bigint,pos:int,`from`:int,near:string>>"), "hits")
     keys = needed.groupBy("h", "win", "off", "len").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = (
         base.filter("size(hits) > 0").select("doc_id", "n_words", F.explode("hits").alias("x")).select("doc_id", "n_words", "x.*")
@@ -169,8 +169,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a benchmark passage go."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without_ids(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "doc_id")
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import bounded_batches, table
+from millrace.llm.storage import bounded_batches, table, without_ids
 
 BUCKETS, NGRAMS, DIM, SAMPLE, EPOCHS, REJECT = 1 << 16, (1, 2, 3, 4), 16, 600, 6, 0.5
 _LETTER = regex.compile(r"\p{L}")
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc: str = "doc_id") -> Model | N
     some = labelled.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= sample)
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample).select(F.col("doc_id").alias("pick"), "h")
     texts = docs.join(F.broadcast(some), F.col(doc) == F.col("pick")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = texts.select("lang", "text", "h", doc).select("lang", "text", "h").mapInArrow(_picked, "label string, keys array<int>, counts array<int>, h bigint").toArrow()
+    rows = texts.select("lang", "text", "h", doc).select("lang", "text", "h").mapInArrow(T.tidy(_picked), "label string, keys array<int>, counts array<int>, h bigint").toArrow()
     if not rows.num_rows:
         return None
     order = sorted(range(rows.num_rows), key=lambda i: (rows["h"][i].as_py(), rows["label"][i].as_py()))
@@ -171,7 +171,7 @@ def _predict(model: Model | None, reject: float):
 def predict(docs: DataFrame, model: Model | None, reject: float = REJECT, doc: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score, rejected for every row; reads the text alone."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(_predict(model, reject), "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(T.tidy(_predict(model, reject)), "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,5 +181,4 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go."""
-    out = predict(docs, fit(docs)).filter("rejected").select("doc_id")
-    return docs.join(out, "doc_id", "left_anti")
+    return without_ids(docs, predict(docs, fit(docs)).filter("rejected"), "doc_id")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
 from millrace.llm.components import components
-from millrace.llm.storage import of_ids, table, written
+from millrace.llm.storage import of_ids, table, without_ids, written
 
 VALUES, DISTANCE, CHUNKS, BLOCK = 32, 19, 10, 512
 _MULT = np.random.default_rng(5).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,19 +168,19 @@ def _links(parts, distance, percent):
 def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of docs (id, text) whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    full = of_ids(docs, ids, "id").mapInArrow(_full(k), "id bigint, s array<bigint>")
+    full = of_ids(docs, ids, "id").mapInArrow(T.tidy(_full(k)), "id bigint, s array<bigint>")
     full = full.groupBy("id").agg(F.first("s").alias("s"))
     got = pairs.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return written(got.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a bigint, b bigint"), "confirmed")
+    return written(got.select("a", "b", "sa", "sb").mapInArrow(T.tidy(_confirmed(percent)), "a bigint, b bigint"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, distance: int = DISTANCE, chunks: int = CHUNKS, block: int = BLOCK, doc: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; distance and chunks as in the module's text."""
     texts = docs.select(F.col(doc).alias("doc_id"), "text")
-    base = written(texts.mapInArrow(_summaries(k), "doc_id bigint, n bigint, digest binary, sig binary"), "signatures")
+    base = written(texts.mapInArrow(T.tidy(_summaries(k)), "doc_id bigint, n bigint, digest binary, sig binary"), "signatures")
     classes = written(base.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     parts = index_parts(VALUES, chunks, distance)
-    entries = classes.select("id", "sig").mapInArrow(_entries(parts), "key bigint, part int, id bigint")
+    entries = classes.select("id", "sig").mapInArrow(T.tidy(_entries(parts)), "key bigint, part int, id bigint")
     shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).filter("c > 1")
     entries = written(entries.join(shared, "key"), "entries")
     sigs, text_of = classes.select("id", "n", "sig"), texts.withColumnRenamed("doc_id", "id")
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, distance: in
     # small rows with much to do: as many tasks as partitions are set, however few bytes they are
     member = member.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "x", "y")
     member = written(member.groupBy("key", "x", "y").applyInArrow(_needed(parts, distance, percent), member.schema), "rest")
-    full = of_ids(text_of, member.select("id").distinct(), "id").mapInArrow(_full(k), "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s"))
+    full = of_ids(text_of, member.select("id").distinct(), "id").mapInArrow(T.tidy(_full(k)), "id bigint, s array<bigint>").groupBy("id").agg(F.first("s").alias("s"))
     rest = member.join(full, "id").groupBy("key", "x", "y").applyInArrow(_links(parts, distance, percent), "a bigint, b bigint")
     links = written(links.union(rest), "links")
     of = components(links)
@@ -225,7 +225,7 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id stays."""
-    return docs.join(near_duplicates(docs).filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    return without_ids(docs, near_duplicates(docs).filter("not kept"), "doc_id")
 
 
 OP8_SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
     bounded_batches(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def of_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
@@ -45,6 +57,14 @@ def of_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> Dat
     return df.join(ids, on, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of df whose `on` isn't in ids; moves df only beyond `most` ids."""
+    ids = written(ids.select(on).distinct(), "ids")
+    if ids.limit(most + 1).count() <= most:
+        ids = F.broadcast(ids)
+    return df.join(ids, on, "left_anti").select(df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

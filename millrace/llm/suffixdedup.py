@@ -216,7 +216,7 @@ def _merge(width: int):
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs: doc_id, text. doc_id, spans: the merged byte ranges to remove, for the documents that have any."""
     spark = docs.sparkSession
-    found = docs.mapInArrow(_segment_rows(width), "gram bigint, seg bigint, doc_id bigint, start int, len int")
+    found = docs.mapInArrow(T.tidy(_segment_rows(width)), "gram bigint, seg bigint, doc_id bigint, start int, len int")
     grams = written(found.groupBy("gram").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("c > 1").select("gram", (F.col("lo") < F.col("hi")).alias("several")), "grams")
     some = written(found.join(grams, "gram"), "occurrences")
     distinct = some.filter("several").groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "len")).alias("at"))
@@ -225,7 +225,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     total = distinct.agg(F.sum(F.col("len").cast("long"))).first()[0] or 0
     wanted = distinct.join(hot, "gram", "left").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "seg", "start", "len", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want"))
     texts = of_ids(docs, distinct.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id").select("text", "want")
-    parts = texts.mapInArrow(_texts(width), "key bigint, gram bigint, seg bigint, off int, part binary")
+    parts = texts.mapInArrow(T.tidy(_texts(width)), "key bigint, gram bigint, seg bigint, off int, part binary")
     buckets = int(total // BUCKET_BYTES) + 1
     tasks = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     merged = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_merge(width), "gram bigint, seg bigint, spans array<struct<`from`:int,`to`:int>>")

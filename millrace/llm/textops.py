@@ -6,6 +6,8 @@ whole block are hashed without a Python loop. A null text counts as an empty one
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,29 @@ NONBLANK = np.ones(256, bool)
 NONBLANK[[0x20, *range(0x09, 0x0E)]] = False
 
 
+#: What operators keep in a worker process from task to task; work on blocks drops it, as the process is then another's.
+CACHES: list[dict] = []
+
+
+def drop_caches() -> None:
+    if any(CACHES):
+        for c in CACHES:
+            c.clear()
+        gc.collect()
+
+
+def tidy(run):
+    """run over batches, for a worker process that others use later: freed memory goes back to the system at the end."""
+
+    def tidied(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     global _powers
@@ -66,6 +91,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets from 0, bytes) of runs of rows of at most limit bytes, or of one longer row."""
+    drop_caches()
     offsets, data = buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
