@@ -30,9 +30,9 @@ from millrace.llm import textops as T
 from millrace.llm.storage import bounded_batches, table
 
 #: Symbols in one recursion; rows kept by one leg of it (symbols times steps); pieces a task remembers.
-SYMBOLS, LEG_ROWS, KEPT = 60_000, 600_000, 160_000
+SYMBOLS, LEG_ROWS, KEPT = 150_000, 1_500_000, 700_000
 #: Texts taken apart at a time.
-ROWS = 300
+ROWS = 2_000
 #: Bytes from which a piece takes the steps that contract all pairs of a rank.
 LONG = 64
 
@@ -92,7 +92,7 @@ class Codec:
         self.byte = np.array([self.tokens[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.last: set[str] = set()
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "120MB", "preserve_insertion_order": True})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True})
         a, b, rank = [], [], []
         least = dict.fromkeys(self.tokens.values(), 1 << 30)
         for token, r in self.tokens.items():
