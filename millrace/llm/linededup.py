@@ -77,6 +77,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     # most tokens are one line's: only those of several stay
     shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("doc").alias("least")).filter("lo < hi")
     shared = written(shared.select("token", "least"), "shared")
+    release(spark)
     entries = prefixes.join(shared, "token")
     entries = written(entries.groupBy("token", "h1", "np", "least").agg(F.min("doc").alias("doc")), "entries")
     release(spark, prefixes, shared)
