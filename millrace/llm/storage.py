@@ -14,8 +14,11 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # a core setting, which a running session refuses to change: the context holds the folder instead
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
