@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from millrace.llm.storage import of_ids, release, table, written
 
 RANKS = 1 << 16
-_BLANKS = r"[ \t-\r]+"
+#: Blanks within a line other than the space.
+_BLANKS = "\t\x0b\x0c\r"
 _LOW = (1 << 47) - 1
 
 
@@ -38,18 +39,32 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
+def _worded(lines: DataFrame) -> DataFrame:
+    """lines with words and the column w: their words. Split at one literal character, which needs no regular expression."""
+    spaced = F.col("line")
+    for b in _BLANKS:
+        spaced = F.replace(spaced, F.lit(b), F.lit(" "))
+    return lines.withColumn("w", F.array_remove(F.split(spaced, " "), "")).filter(F.size("w") > 0)
+
+
+def _token(i: Column, k: int) -> Column:
+    """The hash of the run of k words from i on; nulls beyond the end change no hash, so a line of fewer words has one token."""
+    return F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(k)])
+
+
 def _hashed(lines: DataFrame, k: int) -> DataFrame:
     """lines with words and the column t: the hashes of the line's tokens."""
-    words = F.split(F.regexp_replace("line", r"^[ \t-\r]+|[ \t-\r]+$", ""), _BLANKS)
-    lines = lines.filter(F.col("line").rlike(r"[^ \t-\r]")).withColumn("w", F.transform(words, lambda w: F.xxhash64(w)))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.slice("w", i, k)))
-    return lines.withColumn("t", F.when(F.size("w") < k, F.array(F.xxhash64("w"))).otherwise(runs)).drop("w")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0)))
+    return _worded(lines).withColumn("t", F.transform(starts, lambda i: _token(i, k))).drop("w")
 
 
-def _ranks(hashed: DataFrame) -> Column:
+def _ranks(lines: DataFrame, k: int) -> Column:
     """The rank of each bucket of tokens, rarest first, as one literal of RANKS numbers."""
-    # outer: a filter that Spark infers for a plain explode would be pushed down and work the tokens out anew for each token
-    counts = hashed.select(F.explode_outer("t").alias("t")).groupBy(F.col("t").bitwiseAND(RANKS - 1).alias("b")).count().collect()  # at most RANKS rows
+    # words are exploded, not an array of tokens: so the tokens are made in generated code. Outer: a filter that Spark
+    # infers for a plain explode would be pushed down and split the line anew
+    at = _worded(lines.select("line")).select("w", F.posexplode_outer("w").alias("i", "word"))
+    tokens = at.filter((F.col("i") == 0) | (F.col("i") <= F.size("w") - k)).select(_token(F.col("i"), k).alias("t"))
+    counts = tokens.groupBy(F.col("t").bitwiseAND(RANKS - 1).alias("b")).count().collect()  # at most RANKS rows
     n = np.zeros(RANKS, np.int64)
     for b, c in counts:
         n[b] = c
@@ -69,7 +84,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     spark = docs.sparkSession
     lines = _lines(docs)
     hashed = _hashed(lines, k)
-    ranks = _ranks(hashed)
+    ranks = _ranks(lines, k)
     sets = hashed.select("doc_id", "h1", _ordered(ranks).alias("t"))
     n = F.size("t")
     prefixes = sets.select("doc_id", "h1", n.alias("n"), F.posexplode_outer(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
