@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from millrace.functions.text import has_phrase, normalize_text
 
 #: Names of countries and cities by ISO code.
-COUNTRIES = {"AT": "austria", "BE": "belgium", "CH": "switzerland", "CZ": "czechia", "DE": "germany", "DK": "denmark", "ES": "spain", "FI": "finland", "FR": "france", "GB": "united kingdom", "IE": "ireland", "IT": "italy", "LU": "luxembourg", "NL": "netherlands", "NO": "norway", "PL": "poland", "PT": "portugal", "SE": "sweden"}
+COUNTRIES = {"AT": "austria", "BE": "belgium", "CH": "switzerland", "CZ": "czechia", "DE": "germany", "DK": "denmark", "ES": "spain", "FI": "finland", "FR": "france", "GB": "united kingdom", "IE": "ireland", "IT": "italy", "LU": "luxembourg", "NL": "netherlands", "NO": "norway", "PL": "poland", "PT": "portugal", "SE": "sweden", "BG": "bulgaria", "CY": "cyprus", "EE": "estonia", "GR": "greece", "HR": "croatia", "HU": "hungary", "IS": "iceland", "LI": "liechtenstein", "LT": "lithuania", "LV": "latvia", "MT": "malta", "RO": "romania", "SI": "slovenia", "SK": "slovakia"}
 CITIES = {"AT": "vienna", "BE": "brussels", "CH": "zurich", "CZ": "prague", "DE": "berlin munich hamburg cologne frankfurt", "DK": "copenhagen", "ES": "madrid barcelona valencia", "FI": "helsinki", "FR": "paris lyon", "GB": "london manchester edinburgh", "IE": "dublin", "IT": "milan rome", "NL": "amsterdam rotterdam utrecht", "NO": "oslo", "PL": "warsaw krakow", "PT": "lisbon porto", "SE": "stockholm gothenburg"}
 US_WORDS = ("united states", "usa", "new york", "san francisco", "california", "texas", "boston", "seattle", "chicago", "austin", "massachusetts")
 US_CODES = "AL|AK|AZ|AR|CA|CO|CT|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY"
 REMOTE = ("remote", "anywhere", "work from home", "wfh", "fully distributed")
 
 
+#: Words and phrases that name Europe, its unions or its time zones.
+EU_WORDS = ("eu", "eea", "emea", "uk", "cet", "cest", "eet", "eest", "efta", "schengen", "europe", "european", "europewide", "eurozone", "benelux", "nordics", "dach", "iberia")
+
+
 def segments(location: Column) -> Column:
     """The alternatives that a location lists."""
     parts = F.split(F.coalesce(location, F.lit("")), r"[;|/\n·•()\[\]]| - | or | and | & ")
@@ -55,3 +59,31 @@ def is_remote(location: Column, title: Column) -> Column:
     strong = has_phrase(norm, "fully remote")
     bare = F.concat(F.lit(" "), norm, F.lit(" ")).rlike(r" (?:remote(?! (?:sensing|control|access|procedure)\b)|anywhere|wfh|work from home) ")
     return strong | (~has_phrase(norm, "hybrid") & bare)
+
+
+def country_name(iso: Column) -> Column:
+    """The name of a country of the table, capitalised; null for others."""
+    return F.initcap(F.element_at(F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv]), iso))
+
+
+def is_eu(iso: Column) -> Column:
+    """Whether the code is of the table, which holds the EU, the EEA, Switzerland and the UK; false for null."""
+    return F.coalesce(iso.isin(*COUNTRIES), F.lit(False))
+
+
+def mentions_eu(text: Column) -> Column:
+    """Whether a text hints at Europe: an offset of UTC+0 to +3, a word of EU_WORDS, or a country or city of the tables."""
+    words = [*EU_WORDS, *COUNTRIES.values(), *[c for cs in CITIES.values() for c in cs.split()]]
+    named = F.concat(F.lit(" "), normalize_text(text), F.lit(" ")).rlike(" (?:" + "|".join(words) + ") ")
+    return F.coalesce(text.rlike(r"(?i)\b(?:UTC|GMT)\s*\+\s*0?[0-3]\b"), F.lit(False)) | named
+
+
+def resolve(location: Column, title: Column, remote: Column, description: Column) -> Column:
+    """Country, remote, eu_hint and us of a posting. The title is asked for a country only where the location isn't in the US; a declared remote flag wins."""
+    us = in_us(location)
+    return F.struct(
+        F.coalesce(country_of(location), F.when(~us, country_of(title))).alias("country"),
+        F.coalesce(remote, is_remote(location, title)).alias("remote"),
+        mentions_eu(F.concat_ws(" ", location, title, description)).alias("eu_hint"),
+        us.alias("us"),
+    )

@@ -38,3 +38,12 @@ def alerts(stats: DataFrame) -> DataFrame:
     ]
     made = F.filter(F.array(*[F.when(c, F.struct(F.lit(SEVERITY[s]).alias("rank"), F.lit(i).alias("seq"), F.lit(k).alias("kind"), F.lit(s).alias("severity"))) for i, (k, s, c) in enumerate(rules)]), lambda x: x.isNotNull())
     return stats.select("run", F.explode(made).alias("a")).select("run", "a.*")
+
+
+def source_baselines(runs: DataFrame, last: int = 5) -> DataFrame:
+    """source, baseline: the mean count over the last finished runs whose stats_json holds source_counts; a source absent from a run counts as 0."""
+    stats = runs.withColumn("counts", F.from_json("stats_json", "source_counts MAP<STRING, STRING>")["source_counts"])
+    recent = stats.filter("finished_at is not null and counts is not null").orderBy(F.desc("run_id")).limit(last)
+    sums = recent.select(F.explode("counts").alias("source", "n")).groupBy("source").agg(F.sum(F.col("n").try_cast("double")).alias("s"))
+    total = recent.agg(F.count("*").alias("runs"))  # one row
+    return sums.filter("s is not null").join(F.broadcast(total)).select("source", (F.col("s") / F.col("runs")).alias("baseline"))

@@ -1,5 +1,5 @@
 """Named plans over the driver tables, grouped by topic."""
 
-from millrace.plans import core, literals, relational
+from millrace.plans import core, literals, records, relational
 
-MODULES = [core, relational, literals]
+MODULES = [core, relational, literals, records]
