@@ -206,6 +206,15 @@ def test_chunks_resist_shifts(spark):
     assert all(got[i].n_bytes == len((t or "").encode()) for i, t in enumerate(texts))
 
 
+def test_chunks_short_whole_copies(spark):
+    short, passage = "an own line of ninety bytes or so, that stands in two documents, and in both as all there is", prose(21, 60)
+    texts = [short, "tiny", prose(22, 80) + " tiny " + passage, short, "tiny", short + " " + prose(23, 80), passage[:60] + prose(24, 60), "", None]
+    assert len(short) < chunks.RUN
+    got = {r.doc_id: r for r in chunks.dedup_chunks(frame(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(len(texts))] == [0, 0, 0, len(short), 4, 0, 0, 0, 0]
+    assert [got[i].n_spans for i in (3, 4)] == [1, 1] and got[3].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_secrets(spark):
     model = secrets.train(secrets.labelled_findings(spark).filter("id % 5 <> 0"))
     held = secrets.features(secrets.labelled_findings(spark).filter("id % 5 = 0"))
