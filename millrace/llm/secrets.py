@@ -1,14 +1,16 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame and SQL expressions only.
 
 A candidate is a run of key characters of 16 or more with a digit among them, a value of 8 or more assigned to a name such as
-token or password, or a private key's header. Of each candidate come its length, its character transitions (changes of
+token or password, or a private key's header. `=` is a key character as padding at a run's end only, so of NAME=value (.env,
+shell, URL parameters) the value is the candidate and the name stands before it. Of each candidate come its length, its character transitions (changes of
 character class, distinct characters, longest letter run), its dictionary coverage (share of characters in common words), its path (whether the
 candidate is or stands in one, and whether the document's own path names tests or examples) and its neighbouring words
 (those before it that name credentials, or harmless values such as hashes and ids). A forest trained from labelled findings
 gives the score; findings of 0.5 or more are secrets.
 
-labelled_findings() makes findings with known labels by rule: random keys of common formats, and placeholders, commit
-hashes, ids, paths, host names, numbers and identifiers; any table of such rows can take its place.
+labelled_findings() makes lines by rule, with random keys of common formats, and placeholders, commit hashes, ids, paths,
+host names, numbers and identifiers, and takes their findings with known labels as a scan does; any table of such rows can take
+its place.
 
 Defined cases: null and empty text have no candidates; a candidate repeated in a document is one finding; repeated rows
 give findings each under their doc_id, counted once; texts are scanned whole; an empty table gives an empty result; other
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm.storage import table
 
-_KEY = r"[A-Za-z0-9+/_=.-]"
+_KEY, _LINKED = r"[A-Za-z0-9+/_.-]", r"[A-Za-z0-9+/_=.-]"
 _NAMES = r"secret|token|password|passwd|pwd|api_key|apikey|access_key|auth"
 CANDIDATE = (
-    rf"(?<!{_KEY})(?=[A-Za-z+/_=.-]*+[0-9]){_KEY}{{16,}}+"
-    rf"|(?i:(?<=(?:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)[^\s\"']{{8,}}+)"
+    rf"(?<!{_KEY})(?=[A-Za-z+/_.-]*+[0-9])(?:{_KEY}{{16,}}+(?:=++(?!{_KEY}))?+|(?={_LINKED}{{16}}){_KEY}{{14,15}}+=++(?!{_KEY}))"
+    rf"|(?i:(?<=(?:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=)){{8,}}+)"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 )
 _WORDS = (
@@ -68,10 +70,19 @@ def features(findings: DataFrame) -> DataFrame:
     )
 
 
+def occurrences(docs: DataFrame, context: int = 48) -> DataFrame:
+    """docs (text and any others): the other columns with candidate, start and before, the last words of its line so far, of every candidate."""
+    others = [c for c in docs.columns if c != "text"]
+    found = docs.filter(F.col("text").rlike(CANDIDATE)).select(*others, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))).alias("candidate"))
+    found = found.withColumn("start", F.expr("instr(text, candidate)")).withColumn("before", F.expr(f"substr(text, greatest(1, start - {context}), least({context}, start - 1))"))
+    found = found.withColumn("before", F.regexp_extract("before", r"[^\n]*$", 0)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", "")).drop("text")
+    return found.filter("length(candidate) > 0")
+
+
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """candidate, before, path, label of n findings of known kind, always the same ones."""
-    return spark.range(0, n, 1, 1).selectExpr(
-        "id", "sha2(cast(id as string), 256) h", "base64(unhex(sha2(concat('b', id), 384))) b", "sha2(concat('u', id), 256) u", "cast(id % 24 as int) kind", "cast(xxhash64(id) & 7 as int) w", "cast(xxhash64(id, 1) & 3 as int) p"
+    """id, candidate, start, before, path, label of the findings in n lines of known kind, always the same ones."""
+    lines = spark.range(0, n, 1, 1).selectExpr(
+        "id", "sha2(cast(id as string), 256) h", "base64(unhex(sha2(concat('b', id), 384))) b", "sha2(concat('u', id), 256) u", "cast(id % 24 as int) kind", "cast(xxhash64(id) & 7 as int) w", "cast(xxhash64(id, 1) & 3 as int) p", "pmod(xxhash64(id, 2), 3) = 0 as env"
     ).selectExpr(
         "id",
         """case kind
@@ -82,17 +93,24 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
           when 15 then concat('/usr/local/lib/', element_at(array('config', 'data', 'assets', 'static', 'image', 'script', 'model', 'build'), w + 1), '/', substr(h, 1, 4), '.json') when 16 then concat('mail', w, '.example', id % 90, '.com')
           when 17 then substr(translate(h, 'abcdef', '123456'), 1, 16) when 18 then concat('get_', element_at(array('user', 'page', 'model', 'client', 'server', 'content', 'string', 'object'), w + 1), '_by_version_', id % 99) when 19 then substr(h, 1, 64)
           when 20 then concat('2024-', lpad(1 + id % 12, 2, '0'), '-', lpad(1 + id % 28, 2, '0'), 'T10.', lpad(id % 60, 2, '0'), '.00') when 21 then concat('www.', element_at(array('shop', 'news', 'data', 'blog', 'image', 'client', 'public', 'server'), w + 1), id % 999, '.org/index/page', w)
-          when 22 then concat(repeat(substr(h, 1, 1), 12), id % 10000, repeat('=', 4)) else concat('password', id % 100, '-example-value') end as candidate""",
-        """case when kind in (0, 1, 2, 3, 8, 9, 11) then element_at(array('token = "', 'api_key: ', 'secret="', 'password = ', 'Authorization: Bearer ', 'export AUTH_TOKEN=', 'access_key = "', 'the private token is '), w + 1)
+          when 22 then concat(repeat(substr(h, 1, 1), 12), id % 10000, repeat('=', 4)) else concat('password', id % 100, '-example-value') end as planted""",
+        """case when env and kind in (4, 5, 6, 7) then element_at(array('API_KEY=', 'AWS_ACCESS_KEY_ID=', 'ID=', 'GITHUB_TOKEN=', 'https://api.shop.org/v1/list?key=', 'USER_VALUE=', 'run --with=', 'X='), w + 1)
+          when env and kind < 12 then element_at(array('API_KEY=', 'AWS_SECRET_ACCESS_KEY=', 'export DB_PASSWORD=', 'GITHUB_TOKEN=', 'https://api.shop.org/v1/list?access_token=', 'curl -d client_secret=', 'deploy --auth-token=', 'S3_UPLOAD_2024_SECRET='), w + 1)
+          when env and kind in (12, 13, 17, 19) then element_at(array('COMMIT_SHA=', 'IMAGE_DIGEST=sha256:', 'SESSION_ID=', 'https://www.shop.org/list?order=', 'BUILD_VERSION=', 'export REQUEST_UUID=', 'get --checksum=', 'https://www.shop.org/page?revision='), w + 1)
+          when env and kind in (14, 22, 23) then element_at(array('API_KEY=', 'AWS_SECRET_ACCESS_KEY=', 'export DB_PASSWORD=', 'EXAMPLE_TOKEN=', 'https://api.shop.org/v1/list?access_token=', 'SAMPLE=', 'run --auth-token=', 'TEST_SECRET='), w + 1)
+          when env then element_at(array('CONFIG_PATH=', 'HOST=', 'export HOME_PAGE=', 'START_AT=', 'https://www.shop.org/list?next=', 'NAME=', 'run --file=', 'FUNCTION='), w + 1)
+          when kind in (0, 1, 2, 3, 8, 9, 11) then element_at(array('token = "', 'api_key: ', 'secret="', 'password = ', 'Authorization: Bearer ', 'export AUTH_TOKEN=', 'access_key = "', 'the private token is '), w + 1)
           when kind in (4, 5, 6, 7, 10) then if(kind = 10 or p = 0, 'client_secret: "', element_at(array('was and the ', 'id = "', '', 'use ', 'login with ', 'value: ', 'of the ', 'line '), w + 1))
           when kind in (12, 19) then element_at(array('commit ', 'sha256: ', 'checksum = ', 'md5 hash of ', 'revision ', 'digest: ', 'build hash ', 'commit id '), w + 1)
           when kind = 13 then element_at(array('uuid: ', 'session ', 'order ', 'guid = ', 'request id ', 'id: ', 'the ', 'session id '), w + 1)
           when kind in (14, 22, 23) then element_at(array('token = "', 'api_key: ', 'secret="', 'password = ', 'example: ', 'the ', 'sample key ', 'dummy '), w + 1)
           when kind = 15 then element_at(array('path ', 'file ', 'in ', 'see ', 'open ', 'the ', 'load ', 'from '), w + 1) when kind = 16 then element_at(array('user@', 'a.b@', 'mail to x@', 'the ', 'host ', 'c1@', 'of this@', 'at '), w + 1)
-          when kind = 17 then element_at(array('card ', 'phone ', 'order ', 'invoice ', 'and the ', 'of ', 'number ', 'call '), w + 1) when kind = 21 then element_at(array('url ', 'href="', 'https://', 'see ', 'http://', 'on ', 'page ', 'the '), w + 1) else element_at(array('the ', 'and ', 'call ', 'def ', 'at ', 'of ', 'in ', 'with '), w + 1) end as before""",
+          when kind = 17 then element_at(array('card ', 'phone ', 'order ', 'invoice ', 'and the ', 'of ', 'number ', 'call '), w + 1) when kind = 21 then element_at(array('url ', 'href="', 'https://', 'see ', 'http://', 'on ', 'page ', 'the '), w + 1) else element_at(array('the ', 'and ', 'call ', 'def ', 'at ', 'of ', 'in ', 'with '), w + 1) end as lead""",
         "case when p = 1 and kind >= 12 then 'tests/data.txt' else 'src/main.txt' end as path",
         "cast(if(kind < 12, 1, 0) as double) as label",
     )
+    lines = lines.withColumn("text", F.expr("concat(lead, planted, case when lead like '%\"' then '\"' when lead like '%?%=' then '&page=2' else '' end)"))
+    return occurrences(lines).withColumn("label", F.when(F.col("candidate") == F.col("planted"), F.col("label")).otherwise(F.lit(0.0))).drop("lead", "planted")
 
 
 def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
@@ -104,12 +122,8 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, doc: str = "doc_id", context: int = 48) -> DataFrame:
     """doc_id, candidate, start, score, secret of every finding."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    found = docs.select(F.col(doc).alias("doc_id"), "text", path.alias("path")).filter(F.col("text").rlike(CANDIDATE))
-    found = found.select("doc_id", "text", "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))).alias("candidate"))
-    found = found.withColumn("start", F.expr("instr(text, candidate)")).withColumn("before", F.expr(f"substr(text, greatest(1, start - {context}), least({context}, start - 1))"))
-    # the line so far, and of it the last words
-    found = found.withColumn("before", F.regexp_extract("before", r"[^\n]*$", 0)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", "")).drop("text")
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found.filter("length(candidate) > 0")))
+    found = occurrences(docs.select(F.col(doc).alias("doc_id"), "text", path.alias("path")), context)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found))
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "candidate", "start", "score", (F.col("score") >= threshold).alias("secret"))
 
