@@ -2,18 +2,18 @@
 
 A candidate is a run of key characters of 16 or more with a digit among them, a value of 8 or more assigned to a name such as
 token or password, or a private key's header. `=` is a key character as padding at a run's end only, so of NAME=value (.env,
-shell, URL parameters) the value is the candidate and the name stands before it. Of each candidate come its length, its character transitions (changes of
-character class, distinct characters, longest letter run), its dictionary coverage (share of characters in common words), its path (whether the
+shell, URL parameters) the value is the candidate and the name stands before it. Of each candidate, at each of its places,
+come its length, its character transitions (changes of character class, distinct characters, longest letter run), its dictionary coverage (share of characters in common words), its path (whether the
 candidate is or stands in one, and whether the document's own path names tests or examples) and its neighbouring words
 (those before it that name credentials, or harmless values such as hashes and ids). A forest trained from labelled findings
-gives the score; findings of 0.5 or more are secrets.
+gives the score; a document's candidate takes the highest score of its places there, and findings of 0.5 or more are secrets.
 
 labelled_findings() makes lines by rule, with random keys of common formats, and placeholders, commit hashes, ids, paths,
 host names, numbers and identifiers, and takes their findings with known labels as a scan does; any table of such rows can take
 its place.
 
-Defined cases: null and empty text have no candidates; a candidate repeated in a document is one finding; repeated rows
-give findings each under their doc_id, counted once; texts are scanned whole; an empty table gives an empty result; other
+Defined cases: null and empty text have no candidates; a candidate repeated in a document is one finding; so is one
+that rows of the same doc_id share; texts are scanned whole; an empty table gives an empty result; other
 columns are ignored, `source` serves as path where there is one.
 """
 
@@ -31,7 +31,8 @@ _KEY, _LINKED = r"[A-Za-z0-9+/_.-]", r"[A-Za-z0-9+/_=.-]"
 _NAMES = r"secret|token|password|passwd|pwd|api_key|apikey|access_key|auth"
 CANDIDATE = (
     rf"(?<!{_KEY})(?=[A-Za-z+/_.-]*+[0-9])(?:{_KEY}{{16,}}+(?:=++(?!{_KEY}))?+|(?={_LINKED}{{16}}){_KEY}{{14,15}}+=++(?!{_KEY}))"
-    rf"|(?i:(?<=(?:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=)){{8,}}+)"
+    # the short lookbehinds are met at few characters, and spare the long one at all others
+    rf"|(?i:(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<=(?:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=)){{8,}}+)"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 )
 _WORDS = (
@@ -71,11 +72,20 @@ def features(findings: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, context: int = 48) -> DataFrame:
-    """docs (text and any others): the other columns with candidate, start and before, the last words of its line so far, of every candidate."""
+    """docs (text and any others): the other columns with candidate, start and before, the last words of its line so far, of every candidate at each of its places."""
     others = [c for c in docs.columns if c != "text"]
-    found = docs.filter(F.col("text").rlike(CANDIDATE)).select(*others, "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), 0))).alias("candidate"))
-    found = found.withColumn("start", F.expr("instr(text, candidate)")).withColumn("before", F.expr(f"substr(text, greatest(1, start - {context}), least({context}, start - 1))"))
-    found = found.withColumn("before", F.regexp_extract("before", r"[^\n]*$", 0)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", "")).drop("text")
+    # the texts before, between and after the matches place each match where the pattern found it
+    found = docs.filter(F.col("text").rlike(CANDIDATE)).select(*others, F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("matches"), F.split("text", CANDIDATE, -1).alias("gaps"))
+    places = F.expr(
+        f"""aggregate(zip_with(matches, slice(gaps, 1, size(matches)), (m, g) -> named_struct('text', m, 'gap', g)),
+          named_struct('at', 1, 'line', '', 'out', cast(array() as array<struct<candidate:string,start:int,before:string>>)),
+          (a, m) -> named_struct('at', a.at + length(m.gap) + length(m.text), 'line', right(concat(a.line, right(m.gap, {context}), m.text), {context}),
+            'out', concat(a.out, array(named_struct('candidate', m.text, 'start', a.at + length(m.gap), 'before', right(concat(a.line, right(m.gap, {context})), {context}))))),
+          a -> a.out)"""
+    )
+    # outer, as Spark would else scan once more to drop texts without matches, which are gone already
+    found = found.select(*others, F.inline_outer(places))
+    found = found.withColumn("before", F.regexp_extract("before", r"[^\n]*$", 0)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", ""))
     return found.filter("length(candidate) > 0")
 
 
@@ -120,12 +130,13 @@ def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, doc: str = "doc_id", context: int = 48) -> DataFrame:
-    """doc_id, candidate, start, score, secret of every finding."""
+    """doc_id, candidate, start, score, secret of every finding: a candidate of a document at its place of the highest score, the first of these."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     found = occurrences(docs.select(F.col(doc).alias("doc_id"), "text", path.alias("path")), context)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found))
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("doc_id", "candidate", "start", "score", (F.col("score") >= threshold).alias("secret"))
+    best = scored.groupBy("doc_id", "candidate").agg(F.max(F.struct("score", (-F.col("start")).alias("place"))).alias("best"))
+    return best.select("doc_id", "candidate", (-F.col("best.place")).alias("start"), "best.score", (F.col("best.score") >= threshold).alias("secret"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,6 +243,16 @@ def test_secrets_in_assignments(spark):
     assert not labelled.filter("candidate rlike '=[^=]'").count() and labelled.filter("label = 1 and before = 'AWS_SECRET_ACCESS_KEY='").count()
 
 
+def test_secrets_at_every_place(spark):
+    key, plain = hashlib.sha1(b"y").hexdigest(), hashlib.sha1(b"z").hexdigest()
+    texts = [f"commit {key} was\nlater: token = \"{key}\"", f"x/{key}/y {key}. and\napi_key: {key}", f"commit {plain} and\nrevision {plain}", f'token = "{key}"\n' + f"commit {plain}\n" * 300 + f'password = "{plain}"', f"é‍👩 token: {key}"]
+    rows = secrets.scan(frame(spark, texts), secrets.train(secrets.labelled_findings(spark))).collect()
+    assert len(rows) == len({(r.doc_id, r.candidate) for r in rows}) == 7
+    assert {(r.doc_id, r.candidate) for r in rows if r.secret} == {(0, key), (1, key), (3, key), (3, plain), (4, key)}
+    assert all(texts[r.doc_id][r.start - 1 :].startswith(r.candidate) for r in rows if r.doc_id < 4)
+    assert [texts[d].rindex(c) + 1 for d, c in ((0, key), (1, key), (3, plain))] == [next(r.start for r in rows if (r.doc_id, r.candidate) == x) for x in ((0, key), (1, key), (3, plain))]
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).filter("doc_id < 0")
     items = spark.createDataFrame([], "item_id long, text string")
