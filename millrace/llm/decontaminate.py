@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import bounded_batches, table, without_ids, written
+from millrace.llm.storage import bounded_batches, per_row, table, without_ids, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -169,7 +169,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with a benchmark passage go."""
-    return without_ids(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "doc_id")
+    items = table(spark, sf_dir, "benchmark")
+    return per_row(docs, lambda d: without_ids(d, decontaminate(d, items).filter("contaminated"), "doc_id"))
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import bounded_batches, table, without_ids
+from millrace.llm.storage import bounded_batches, per_row, table, without_ids
 
 BUCKETS, NGRAMS, DIM, SAMPLE, EPOCHS, REJECT = 1 << 16, (1, 2, 3, 4), 16, 600, 6, 0.5
 _LETTER = regex.compile(r"\p{L}")
@@ -181,4 +181,5 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go."""
-    return without_ids(docs, predict(docs, fit(docs)).filter("rejected"), "doc_id")
+    model = fit(docs)
+    return per_row(docs, lambda d: without_ids(d, predict(d, model).filter("rejected"), "doc_id"))

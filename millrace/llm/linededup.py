@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import of_ids, release, table, written
+from millrace.llm.storage import of_ids, per_row, release, table, written
 
 RANKS = 1 << 16
 #: Blanks within a line other than the space.
@@ -162,10 +162,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without their repeated lines; a document of which nothing is left goes."""
-    removed = written(removed_lines(docs.select("doc_id", "text")), "removed")
-    out = without_lines(docs, removed)
-    out = out.filter("n_removed < n_lines or n_lines = 0")
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+    def stage(d: DataFrame) -> DataFrame:
+        out = without_lines(d, written(removed_lines(d.select("doc_id", "text")), "removed")).filter("n_removed < n_lines or n_lines = 0")
+        return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(d.schema["n_chars"].dataType)).select(d.columns)
+
+    return per_row(docs, stage)
 
 
 OP2_SQL = r"""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
 from millrace.llm.components import components
-from millrace.llm.storage import of_ids, table, without_ids, written
+from millrace.llm.storage import of_ids, per_row, table, without_ids, written
 
 VALUES, DISTANCE, CHUNKS, BLOCK = 32, 19, 10, 512
 _MULT = np.random.default_rng(5).integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,7 +225,7 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id stays."""
-    return without_ids(docs, near_duplicates(docs).filter("not kept"), "doc_id")
+    return per_row(docs, lambda d: without_ids(d, near_duplicates(d).filter("not kept"), "doc_id"))
 
 
 OP8_SQL = r"""

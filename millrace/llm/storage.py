@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,13 +76,21 @@ def of_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> Dat
 
 
 def without_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
-    """The rows of df whose `on` isn't in ids; moves df only beyond `most` ids."""
+    """The rows of df whose `on` isn't in ids; moves df only beyond `most` ids. Rows that share an id go together and rows without one stay: per_row gives keys where there are such."""
     ids = written(ids.select(on).distinct(), "ids")
     if ids.limit(most + 1).count() <= most:
         ids = F.broadcast(ids)
     return df.join(ids, on, "left_anti").select(df.columns)
 
 
+def per_row(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], on: str = "doc_id") -> DataFrame:
+    """stage(docs), which keeps docs' columns, decided row by row: where `on` is null or repeated, the rows get keys of their own, in order of `on` with null last, and their ids back after."""
+    if not docs.groupBy(on).count().filter((F.col("count") > 1) | F.col(on).isNull()).limit(1).count():
+        return stage(docs)
+    rows = docs.withColumnRenamed(on, "_given").orderBy(F.col("_given").asc_nulls_last()).withColumn(on, F.monotonically_increasing_id())
+    return stage(written(rows, "rows")).drop(on).withColumnRenamed("_given", on).select(docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

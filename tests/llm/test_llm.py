@@ -267,6 +267,34 @@ def test_empty_tables(spark):
     assert not bytebpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
 
 
+def corpus(spark, rows):
+    """documents as the stages get them: (doc_id, text, lang)."""
+    return spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def kept_rows(out):
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    passage, letters, r = prose(31, 25), ("abcde", "vwxyz"), random.Random(8)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = [prose(40 + i, 60) for i in range(4)]
+    dirty = f"{prose(50, 20)} {passage} {prose(51, 20)}"
+    docs = corpus(spark, [(None, dirty, None), (5, dirty + " z", None), (5, own[0], None), (None, own[1], None), (7, own[2], None)])
+    assert kept_rows(decontaminate.clean(spark, docs, str(tmp_path))) == sorted([(5, own[0]), (None, own[1]), (7, own[2])], key=str)
+
+    texts = [(i, " ".join("".join(r.choice(letters[i % 2]) for _ in range(6)) for _ in range(30)), "ab"[i % 2]) for i in range(60)]
+    docs = corpus(spark, texts + [(None, "123 456", None), (9, "", None), (None, texts[0][1], None)])
+    assert kept_rows(langid.known_language(spark, docs, "")) == kept_rows(corpus(spark, texts + [(None, texts[0][1], None)]))
+
+    docs = corpus(spark, [(3, own[0], None), (5, own[0] + " more", None), (5, own[1], None), (None, own[1], None), (None, own[2], None)])
+    assert kept_rows(neardup.one_of_each(spark, docs, "")) == sorted([(3, own[0]), (5, own[1]), (None, own[2])], key=str)
+
+    docs = corpus(spark, [(3, own[0], None), (5, own[0] + "\n" + own[1], None), (5, own[2] + "\n" + own[3], None), (None, own[3], None)])
+    assert kept_rows(linededup.unrepeated(spark, docs, "")) == sorted([(3, own[0]), (5, own[1]), (5, own[2] + "\n" + own[3])], key=str)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
