@@ -85,7 +85,7 @@ def occurrences(docs: DataFrame, context: int = 48) -> DataFrame:
     )
     # outer, as Spark would else scan once more to drop texts without matches, which are gone already
     found = found.select(*others, F.inline_outer(places))
-    found = found.withColumn("before", F.regexp_extract("before", r"[^\n]*$", 0)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", ""))
+    found = found.withColumn("before", F.substring_index("before", "\n", -1)).withColumn("candidate", F.regexp_replace("candidate", r"[.]+$", ""))
     return found.filter("length(candidate) > 0")
 
 

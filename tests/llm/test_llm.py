@@ -295,6 +295,111 @@ def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     assert kept_rows(linededup.unrepeated(spark, docs, "")) == sorted([(3, own[0]), (5, own[1]), (5, own[2] + "\n" + own[3])], key=str)
 
 
+def test_chunks_against_brute_force(spark):
+    r, base = random.Random(6), prose(61, 500)
+    texts = [" ".join(base[a : a + r.randint(5, 400)] for a in r.choices(range(2000), k=r.randint(1, 4))) for _ in range(40)]
+    texts += [texts[3], texts[7][:40], texts[7][:40], "é " * 200, "é " * 200, *ODD, *ODD]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        raw, last, runs = (t or "").encode(), 0, []
+        hashes = [sum(int(chunks._GEAR[raw[p - j]]) << j for j in range(min(32, p + 1))) & 0xFFFFFFFF for p in range(len(raw))]
+        for p in range(1, len(raw) + 1):
+            zero = hashes[p - 1] >> 16 & (1 << chunks.BITS) - 1 == 0
+            if p == len(raw) or p - last == chunks.MOST or (zero and p - last >= chunks.LEAST):
+                if raw[last:p] in seen:
+                    if runs and runs[-1][1] == last:
+                        runs[-1][1] = p
+                    else:
+                        runs.append([last, p])
+                seen.add(raw[last:p])
+                last = p
+        runs = [(a, b) for a, b in runs if b - a >= chunks.RUN or b - a == len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(raw)], strict=True))
+        want[i] = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in chunks.dedup_chunks(frame(spark, texts)).collect()}
+    assert got == want and any(0 < w[1] < w[0] for w in want.values())
+
+
+def test_secret_places_against_brute_force(spark):
+    import re
+
+    r = random.Random(3)
+    bits = ["token", "pwd", "API_KEY", "=", "==", ": ", '"', "'", " ", "\n", "&", "a=", ".", "é", "commit ", hashlib.sha1(b"q").hexdigest(), "a1" * 7, "b2" * 8, "hunter22", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(300)]
+    run = re.compile(r"[A-Za-z0-9+/_.-]+")
+    named = re.compile(rf"(?i)(?:{secrets._NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?$")
+    value = re.compile(r"(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=)){8,}")
+    want = set()
+    for i, t in enumerate(texts):
+        p = 0
+        while p < len(t):
+            end, m = p, run.match(t, p)
+            if m and not (p and run.match(t[p - 1])) and re.search("[0-9]", m[0]):
+                pad = len(t[m.end() :]) - len(t[m.end() :].lstrip("="))
+                pad = 0 if run.match(t, m.end() + pad) else pad
+                if len(m[0]) >= 16 or (len(m[0]) >= 14 and len(m[0]) + pad >= 16):
+                    end = m.end() + pad
+            if end == p and named.search(t[:p]) and (m := value.match(t, p)):
+                end = m.end()
+            if end == p and (m := re.compile("-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----").match(t, p)):
+                end = m.end()
+            if end > p and t[p:end].rstrip("."):
+                want.add((i, t[p:end].rstrip("."), p + 1, t[max(0, p - 48) : p].split("\n")[-1]))
+            p = max(end, p + 1)
+    docs = frame(spark, texts).select("doc_id", "text")
+    assert {tuple(x) for x in secrets.occurrences(docs).select("doc_id", "candidate", "start", "before").collect()} == want and len(want) > 300
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = spark.createDataFrame([(*w, None) for w in sorted(want)], "doc_id long, candidate string, start int, before string, path string")
+    from pyspark.ml.feature import VectorAssembler
+
+    best = {}
+    for x in model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(secrets.features(rows))).collect():
+        best[x.doc_id, x.candidate] = max(best.get((x.doc_id, x.candidate), 0), x.probability[1])
+    assert {(x.doc_id, x.candidate): (x.score, x.secret) for x in secrets.scan(docs, model).collect()} == {k: (s, s >= 0.5) for k, s in best.items()}
+
+
+def test_each_stage_against_brute_force(spark, tmp_path):
+    passage = prose(31, 25)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [t for t in near(4) if t] + [f"{prose(70, 20)} {passage} {prose(71, 9)}", "first line of five words\n" + prose(72, 30), "first line of five words\n" + prose(73, 30), "first line of five words"]
+    docs, ids = corpus(spark, [(i, t, "en") for i, t in enumerate(texts)]), range(len(texts))
+
+    dirty = {i for i in ids if any(" ".join(decontaminate.item_words(passage)[a : a + 10]) in " ".join(decontaminate.item_words(texts[i])) for a in range(16))}
+    assert dirty and kept_rows(decontaminate.clean(spark, docs, str(tmp_path))) == sorted([(i, texts[i]) for i in ids if i not in dirty], key=str)
+
+    sets, root = [shingle_set(t) for t in texts], list(ids)
+    for i in ids:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert kept_rows(neardup.one_of_each(spark, docs, "")) == sorted([(i, texts[i]) for i in ids if root[i] == i], key=str)
+
+    seen, left = [], []
+    for i in ids:
+        lines = []
+        for line in texts[i].split("\n"):
+            s = shingle_set(line)
+            if not s or not any(100 * len(s & x) >= 75 * len(s | x) for x in seen):
+                lines.append(line)
+            seen += [s] * bool(s)
+        left += [(i, "\n".join(lines))] * bool(lines)
+    assert kept_rows(linededup.unrepeated(spark, docs, "")) == sorted(left, key=str)
+
+    rejected = {x.doc_id for x in langid.predict(docs, langid.fit(docs)).collect() if x.score < langid.REJECT}
+    assert rejected and kept_rows(langid.known_language(spark, docs, "")) == sorted([(i, texts[i]) for i in ids if i not in rejected], key=str)
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {x.doc_id: x for x in bytebpe.encoded(spark, docs, "").collect()}
+    assert len(got) == len(texts)
+    for i in ids:
+        known = enc.encode_ordinary(texts[i])
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(known), hashlib.sha256(",".join(map(str, known)).encode()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
