@@ -6,36 +6,41 @@ documents, may overlap, and are judged on the input.
 Which text meets where. The least hash among a window's grams of GRAM bytes depends on the window alone, so equal windows choose
 the same gram. Runs of windows with the same chosen gram are segments; each window lies in one segment and equal windows
 have the same gram hash. Grams that occur once are dropped by a count, equal segments are counted as one, and only one
-text of each distinct segment is fetched. Segments with the same gram go to the same bucket. A gram whose segments
-are too many for a bucket has them split again by a second hash of the same kind.
-
-In a bucket, shards of segments have their suffixes sorted once each. A step of the transform goes back SYMBOL bytes. Merging
-starts from the shards' orders one after the other and refines the interleave: the rows before the present order's rows, stably
-sorted by the symbol stepped over, are the order by one symbol more. A shard's rows never change their order among
-themselves. Beside the interleave, blocks of rows with a common prefix of the length reached are kept; blocks of two or
-more rows at `width` bytes are the repeated strings. A row whose text ends has a symbol of its own, so no block crosses
-segments.
+text of each distinct segment is fetched. Segments with the same gram go to the same bucket. A gram with more than
+GRAM_BYTES of segments has them split again by another hash of the same kind, up to SPLITS times; windows that are still
+together in such a number are compared one by one through their digests, so no bucket is unbounded.
+
+In a bucket. A symbol is a word of SYMBOL bytes, and a text is SYMBOL strings of such words, one for each first byte, each with an
+end of its own that sorts before all words. The bucket's texts are dealt to shards; each shard sorts its own suffixes once and
+makes its transform: the symbol before each suffix, in suffix order. From there on only the transforms are read. The merge
+starts with the shards' rows one after the other; each round goes through the rows in the present order and deals them out
+by their transforms' symbols, which is the order by one symbol more. The round in which two neighbours part gives
+their common prefix; it ends when a round changes neither the interleave nor a prefix, or `width` bytes are reached.
+Runs of rows whose neighbours have not parted are the repeated strings, and each row is its shard's suffix of that place.
 
 Defined cases: null and empty text have no bytes; texts shorter than `width` lose nothing; exact copies lose all; a repeated row
-is a second occurrence; long runs of one byte make many equal segments, counted as one; an empty table gives an empty
-result; other columns are ignored. Rows are told apart by doc_id; of rows with the same doc_id each loses what any of them
-shares.
+is a second occurrence; long runs of one byte make many equal segments, counted as one; very long texts are cut into
+overlapping slices; an empty table gives an empty result; other columns are ignored. Rows are told apart by doc_id; of rows
+with the same doc_id each loses what any of them shares.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
 from millrace.llm.chunks import cut_out
-from millrace.llm.storage import of_ids, table, written
+from millrace.llm.storage import of_ids, release, table, written
 
-WIDTH, GRAM, SYMBOL, SHARD_BYTES, BUCKET_BYTES, GRAM_BYTES = 200, 32, 8, 16 << 10, 48 << 10, 2 << 20
+WIDTH, GRAM, SYMBOL, SHARD_BYTES, BUCKET_BYTES, GRAM_BYTES, SPLITS = 200, 32, 8, 16 << 10, 48 << 10, 1 << 20, 3
+#: Windows that start in one slice of a text.
+SLICE = 1 << 22
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -53,6 +58,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, salt: int = 0):
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+    if len(data) > int(_PLACE):
+        raise ValueError("a block this long is to be cut into slices")
     sums = T.prefix(data)
     i = np.arange(len(data) - GRAM + 1)
     h = T.range_hash(sums, i, i + GRAM)
@@ -76,34 +83,68 @@ def _segment_rows(width: int):
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for first, offsets, data in T.blocks(b.column(1)):
-                row, s, e, gram, whole = segments(data, offsets, width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[first + row]), pa.array((s - offsets[row]).astype(np.int32)), pa.array((e - s).astype(np.int32))], ["gram", "seg", "doc_id", "start", "len"]
-                )
+                # a block beyond one slice is one text
+                for at in range(0, max(1, len(data) - width + 1), SLICE):
+                    part = data[at : at + SLICE + width - 1]
+                    row, s, e, gram, whole = segments(part, offsets if len(part) == len(data) else np.array([0, len(part)]), width)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(gram.view(np.int64)),
+                            pa.array(whole.view(np.int64)),
+                            pa.array(ids[first + row]),
+                            pa.array((at + s - offsets[row]).astype(np.int32)),
+                            pa.array((e - s).astype(np.int32)),
+                        ],
+                        ["gram", "seg", "doc_id", "start", "len"],
+                    )
 
     return run
 
 
-def _texts(width: int):
-    """Documents with the segments wanted of them -> a row for each; those of hot grams split by a second hash."""
+_PART = "key bigint, gram bigint, seg bigint, off int, part binary"
+
+
+def _batched(out: list[tuple]):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for i in range(0, max(1, len(out)), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out[i : i + 4096]], k) for c, k in enumerate(kinds)], ["key", "gram", "seg", "off", "part"])
+
+
+def _fetched(batches):
+    """Documents with the segments wanted of them -> a row for each."""
+    for b in batches:
+        out: list[tuple] = []
+        for text, want in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            raw = (text.as_py() or "").encode()
+            out += [(w["gram"], w["gram"], w["seg"], 0, raw[w["start"] : w["start"] + w["len"]]) for w in want]
+        yield from _batched(out)
+
+
+def _split(width: int, salt: int):
+    """Rows of too large keys, split by another hash."""
 
     def run(batches):
         for b in batches:
             out: list[tuple] = []
-            texts, wanted = b.column(0), b.column(1).to_pylist()
-            for text, want in zip(texts, wanted, strict=True):
-                raw = (text.as_py() or "").encode()
-                for w in want:
-                    part = raw[w["start"] : w["start"] + w["len"]]
-                    if not w["hot"]:
-                        out.append((w["gram"], w["gram"], w["seg"], 0, part))
-                        continue
-                    _, s, e, g, _ = segments(np.frombuffer(part, np.uint8), np.array([0, len(part)]), width, salt=1)
-                    g = T.mix(g ^ np.uint64(w["gram"] & (1 << 64) - 1)).view(np.int64)
-                    out += [(k, w["gram"], w["seg"], x, part[x:y]) for x, y, k in zip(s.tolist(), e.tolist(), g.tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            for i in range(0, max(1, len(out)), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out[i : i + 4096]], k) for c, k in enumerate(kinds)], ["key", "gram", "seg", "off", "part"])
+            for key, gram, seg, off, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                _, s, e, g, _ = segments(np.frombuffer(part, np.uint8), np.array([0, len(part)]), width, salt=salt)
+                g = T.mix(g ^ np.uint64(key & (1 << 64) - 1)).view(np.int64)
+                out += [(k, gram, seg, off + x, part[x:y]) for x, y, k in zip(s.tolist(), e.tolist(), g.tolist(), strict=True)]
+            yield from _batched(out)
+
+    return run
+
+
+def _windows(width: int):
+    """A row for each window of the rows: two halves of its digest, gram, seg, off."""
+
+    def run(batches):
+        for b in batches:
+            for gram, seg, off, part in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                n = len(part) - width + 1
+                two = np.frombuffer(b"".join(hashlib.blake2b(part[i : i + width], digest_size=16).digest() for i in range(n)), np.int64).reshape(-1, 2)
+                cols = [two[:, 0].copy(), two[:, 1].copy(), np.full(n, gram), np.full(n, seg), np.arange(off, off + n, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["d1", "d2", "gram", "seg", "off"])
 
     return run
 
@@ -116,7 +157,7 @@ def stable_order(codes: np.ndarray) -> np.ndarray:
 
 
 def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
-    """The rows of one shard sorted by `depth` symbols. after: the row one symbol later, or -1 where the text ends."""
+    """The rows of one shard sorted by `depth` symbols. after: the row one symbol later, or -1 where the string ends."""
     n = len(codes)
     order = stable_order(codes)
     rank = np.empty(n, np.int64)
@@ -124,7 +165,7 @@ def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
     ends = np.flatnonzero(after < 0)
     have = 1
     while have < depth:
-        # a text's end sorts before all else, ends among themselves by row
+        # a string's end sorts before all else, ends among themselves by row
         later = rank[after] + n
         later[ends] = np.arange(len(ends))
         order = stable_order(later)
@@ -141,54 +182,95 @@ def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def transform(codes: np.ndarray, before: np.ndarray, after: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffix of each row, or -1 for an end; the symbol before it, or -1 at a string's first) of one shard, the ends first."""
+    order = shard_order(codes, after, depth)
+    back = before[order]
+    symbols = np.where(back < 0, -1, codes[back])
+    last = np.flatnonzero(after < 0)
+    return np.concatenate([np.full(len(last), -1), order]), np.concatenate([codes[last], symbols])
+
+
+def merge(symbols: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Interleave of the shards' transforms, common prefixes, rounds taken.
+
+    symbols: each shard's transform, its `ends` rows of ends first. The interleave holds a row of the shards' rows end to end at each
+    place; as a shard's rows keep their order, that is no more than the shard's number. A prefix is that of a row with the
+    row before it, in symbols, up to depth.
+    """
+    flat = np.concatenate(symbols)
+    sizes = np.array([len(x) for x in symbols])
+    base = np.cumsum(sizes) - sizes
+    # where each row goes in its own shard when the shard's rows are dealt out by their symbols
+    to = np.full(len(flat), -1)
+    for b, x, d in zip(base.tolist(), symbols, ends, strict=True):
+        inner = np.flatnonzero(x >= 0)
+        to[b + inner[stable_order(x[inner])]] = b + d + np.arange(len(inner))
+    first = np.concatenate([np.arange(b, b + d) for b, d in zip(base.tolist(), ends, strict=True)])
+    rest = np.concatenate([np.arange(b + d, b + n) for b, d, n in zip(base.tolist(), ends, sizes.tolist(), strict=True)])
+    n_ends = len(first)
+    order = np.concatenate([first, rest])
+    parted = np.zeros(len(flat), np.int16)
+    block = np.zeros(len(flat), np.int64)
+    rounds = 0
+    while rounds < depth:
+        rounds += 1
+        s = flat[order]
+        src = np.flatnonzero(s >= 0)
+        src = src[stable_order(s[src])]
+        s, within = s[src], block[src]
+        new = np.concatenate([first, to[order[src]]])
+        cut = parted == 0
+        cut[n_ends + 1 :] &= (s[1:] != s[:-1]) | (within[1:] != within[:-1])
+        parted[cut] = rounds
+        if not cut.any() and np.array_equal(new, order):
+            break
+        order = new
+        block = np.cumsum(parted > 0)
+    return order, np.where(parted > 0, parted - 1, depth), rounds
+
+
 def repeated(parts: list[bytes], width: int = WIDTH, symbol: int = SYMBOL, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Of the texts end to end: whether a string of `width` bytes starts at each byte that also starts at another, and the texts' offsets."""
     if width % symbol:
         raise ValueError("width must be a multiple of symbol")
     sizes = np.array([len(p) for p in parts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    n = int(offsets[-1])
+    n, depth = int(offsets[-1]), width // symbol
+    out = np.zeros(n, bool)
     data = np.frombuffer(b"".join(parts) + bytes(symbol), np.uint8)
-    row = np.arange(n)
-    end = np.repeat(offsets[1:], sizes)
-    start = np.repeat(offsets[:-1], sizes)
+    at = np.arange(n)
+    start, end = np.repeat(offsets[:-1], sizes), np.repeat(offsets[1:], sizes)
     word = np.zeros(n, np.uint64)
     for j in range(symbol):
         word = (word << np.uint64(8)) | data[j : n + j]
-    full = row + symbol <= end
-    known, inverse = np.unique(word[full], return_inverse=True)
-    codes = np.empty(n, np.int64)
-    codes[full] = inverse
-    codes[~full] = len(known) + np.arange(n - len(inverse))
-    before = np.where(row - symbol >= start, row - symbol, -1)
-    after = np.where(row + symbol < end, row + symbol, -1)
-    depth = width // symbol
-
-    # each shard's own order
-    shards, at = [], 0
-    while at < len(parts):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + shard_bytes, side="right")) - 1)
-        lo, hi = int(offsets[at]), int(offsets[stop])
-        shards.append(lo + shard_order(codes[lo:hi], np.where(after[lo:hi] < 0, -1, after[lo:hi] - lo), depth))
-        at = stop
-    order = np.concatenate(shards) if shards else np.zeros(0, np.int64)
-
-    # the interleave, refined by one symbol a round
-    last = np.flatnonzero(after < 0)
-    block = np.zeros(n, np.int64)
-    for r in range(depth):
-        back = before[order]
-        has = back >= 0
-        rows = np.concatenate([last, back[has]])
-        within = np.concatenate([np.zeros(len(last), np.int64) if r == 0 else -1 - np.arange(len(last)), block[has]])
-        sort = stable_order(codes[rows])
-        order, within = rows[sort], within[sort]
-        symbols = codes[order]
-        block = np.concatenate([[0], np.cumsum((symbols[1:] != symbols[:-1]) | (within[1:] != within[:-1]))]) if n else block
-    many = np.bincount(block)[block] > 1 if n else np.zeros(0, bool)
-    out = np.zeros(n, bool)
-    out[order] = many
-    return out & (row + width <= end), offsets
+    # rows are the bytes at which a whole word starts
+    place = np.flatnonzero(at + symbol <= end)
+    if not len(place):
+        return out, offsets
+    codes = np.unique(word[place], return_inverse=True)[1].astype(np.int32)
+    row = np.empty(n, np.int64)
+    row[place] = np.arange(len(place))
+    before = np.where(place - symbol >= start[place], row[np.maximum(place - symbol, 0)], -1)
+    after = np.where(place + 2 * symbol <= end[place], row[np.minimum(place + symbol, n - 1)], -1)
+
+    suffixes, symbols, ends, lo = [], [], [], 0
+    while lo < len(place):
+        # the texts of a shard; a longer one makes a shard of its own
+        text = int(np.searchsorted(offsets, place[lo], side="right"))
+        stop = max(text, int(np.searchsorted(offsets, offsets[text - 1] + shard_bytes, side="right")) - 1)
+        hi = int(np.searchsorted(place, offsets[stop]))
+        own, bwt = transform(codes[lo:hi], np.where(before[lo:hi] < 0, -1, before[lo:hi] - lo), np.where(after[lo:hi] < 0, -1, after[lo:hi] - lo), depth)
+        suffixes.append(np.where(own < 0, -1, own + lo))
+        symbols.append(bwt)
+        ends.append(int((own < 0).sum()))
+        lo = hi
+    order, common, _ = merge(symbols, ends, depth)
+    # maximal runs of rows that share `depth` symbols with their neighbours
+    many = common >= depth
+    many[:-1] |= many[1:]
+    out[place[np.concatenate(suffixes)[order[many]]]] = True
+    return out, offsets
 
 
 def runs(flags: np.ndarray, width: int) -> list[dict]:
@@ -213,30 +295,65 @@ def _merge(width: int):
     return run
 
 
+_SPANS = "array<struct<`from`:int,`to`:int>>"
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs: doc_id, text. doc_id, spans: the merged byte ranges to remove, for the documents that have any."""
     spark = docs.sparkSession
     found = docs.mapInArrow(T.tidy(_segment_rows(width)), "gram bigint, seg bigint, doc_id bigint, start int, len int")
-    grams = written(found.groupBy("gram").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("c > 1").select("gram", (F.col("lo") < F.col("hi")).alias("several")), "grams")
+    grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("c > 1")
+    grams = written(grams.select("gram", (F.col("lo") < F.col("hi")).alias("several")), "grams")
     some = written(found.join(grams, "gram"), "occurrences")
+    release(spark, grams)
     distinct = some.filter("several").groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "len")).alias("at"))
     distinct = written(distinct.select("gram", "seg", "c", "at.*"), "segments")
-    hot = distinct.groupBy("gram").agg(F.sum("len").alias("bytes")).filter(F.col("bytes") > GRAM_BYTES).select("gram", F.lit(True).alias("hot"))
+
+    def parts_of(segs: DataFrame) -> DataFrame:
+        wanted = segs.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "seg", "start", "len")).alias("want"))
+        texts = of_ids(docs, segs.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id")
+        return texts.select("text", "want").mapInArrow(T.tidy(_fetched), _PART)
+
+    def heavy(rows: DataFrame, key: str, size: Column) -> DataFrame:
+        return written(rows.groupBy(key).agg(F.sum(size.cast("long")).alias("bytes")).filter(F.col("bytes") > GRAM_BYTES).select(key), "heavy")
+
     total = distinct.agg(F.sum(F.col("len").cast("long"))).first()[0] or 0
-    wanted = distinct.join(hot, "gram", "left").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "seg", "start", "len", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want"))
-    texts = of_ids(docs, distinct.select("doc_id").distinct(), "doc_id").join(wanted, "doc_id").select("text", "want")
-    parts = texts.mapInArrow(T.tidy(_texts(width)), "key bigint, gram bigint, seg bigint, off int, part binary")
+    hot = heavy(distinct, "gram", F.col("len"))
+    one_by_one = None
+    if hot.limit(1).count():
+        parts = parts_of(distinct.join(hot, "gram", "left_anti"))
+        rows = parts_of(distinct.join(hot, "gram", "left_semi"))
+        for salt in range(1, SPLITS + 1):
+            rows = written(rows.mapInArrow(T.tidy(_split(width, salt)), _PART), "split")
+            hot = heavy(rows, "key", F.length("part"))
+            parts = parts.union(rows.join(hot, "key", "left_anti"))
+            if not hot.limit(1).count():
+                break
+            rows = rows.join(hot, "key", "left_semi")
+        else:
+            each = written(rows.mapInArrow(T.tidy(_windows(width)), "d1 bigint, d2 bigint, gram bigint, seg bigint, off int"), "windows")
+            twice = each.groupBy("d1", "d2").count().filter("count > 1").drop("count")
+            one_by_one = each.join(twice, ["d1", "d2"]).select("gram", "seg", F.struct(F.col("off").alias("from"), (F.col("off") + width).alias("to")).alias("s"))
+    else:
+        parts = parts_of(distinct)
+
     buckets = int(total // BUCKET_BYTES) + 1
     tasks = max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_merge(width), "gram bigint, seg bigint, spans array<struct<`from`:int,`to`:int>>")
-    merged = merged.filter("size(spans) > 0").select("gram", "seg", F.explode("spans").alias("s")).groupBy("gram", "seg").agg(F.collect_set("s").alias("spans"))
+    merged = parts.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(tasks, "bucket")
+    merged = merged.groupBy("bucket").applyInArrow(_merge(width), f"gram bigint, seg bigint, spans {_SPANS}")
+    merged = merged.filter("size(spans) > 0").select("gram", "seg", F.explode("spans").alias("s"))
+    if one_by_one is not None:
+        merged = merged.union(one_by_one)
+    merged = merged.groupBy("gram", "seg").agg(F.collect_set("s").alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("len").alias("to")))
     twice = distinct.select("gram", "seg", "c").join(merged, ["gram", "seg"], "left").filter("c > 1 or spans is not null")
-    of_many = some.filter("several").join(written(twice, "repeats"), ["gram", "seg"]).select("doc_id", "start", F.explode(F.when(F.col("c") > 1, whole).otherwise(F.col("spans"))).alias("s"))
+    of_many = some.filter("several").join(written(twice, "repeats"), ["gram", "seg"])
+    of_many = of_many.select("doc_id", "start", F.explode(F.when(F.col("c") > 1, whole).otherwise(F.col("spans"))).alias("s"))
     of_one = some.filter("not several").select("doc_id", "start", F.explode(whole).alias("s"))
-    spans = of_many.union(of_one).select("doc_id", F.struct((F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to")).alias("s"))
+    moved = F.struct((F.col("start") + F.col("s.from")).alias("from"), (F.col("start") + F.col("s.to")).alias("to"))
+    spans = of_many.union(of_one).select("doc_id", moved.alias("s"))
     joined = F.expr(
-        "aggregate(x, cast(array() as array<struct<`from`:int,`to`:int>>), (a, y) -> if(size(a) > 0 and element_at(a, -1).`to` >= y.`from`, "
+        f"aggregate(x, cast(array() as {_SPANS}), (a, y) -> if(size(a) > 0 and element_at(a, -1).`to` >= y.`from`, "
         "concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).`from`, 'to', greatest(element_at(a, -1).`to`, y.`to`)))), concat(a, array(y))))"
     )
     return spans.groupBy("doc_id").agg(F.sort_array(F.collect_set("s")).alias("x")).select("doc_id", joined.alias("spans"))
