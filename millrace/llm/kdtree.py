@@ -1,14 +1,15 @@
 """Exact top-k inner product search by KD-trees, one for each shard.
 
-Rows are dealt to shards of at most about `shard` rows. A shard's tree splits the widest side of its box at the median until a leaf
+Rows are dealt to shards of about `shard` rows. A shard's tree splits the widest side of its box at the median until a leaf
 has at most `leaf` rows; each node keeps the tight box of its rows. For a query the inner product with a box is at most
 the sum over components of the larger of query * low and query * high. Nodes are visited best bound first from a heap; a
 node is dropped when its bound is below the query's kth score so far. (A node whose bound equals it may hold a tie with a
-smaller id and is visited.) A first round searches one shard for each block of queries; the kth scores found there are
-propagated to the second round over all shards, so most boxes are dropped at once.
+smaller id and is visited.) Scores are whole numbers, exact below 2**63. Bounds are doubles: exact where all sums fit into 53
+bits, else rounded up by more than the error of the sum.
 
-Queries are sent to shards in blocks: each pair of a shard and a block is one bounded group. A query's results are merged from
-the `k` best of each shard.
+A shard's rows come sorted before its queries, so a task builds each of its trees once and streams the queries past it. A
+first round sends each query to its own shard; the kth scores found there are propagated to the second round over the other
+shards, so most boxes are dropped at once. A query's results are merged from the `k` best of each shard.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither do vectors of another
 length than a query's; equal scores go to the smaller id; fewer than k candidates are all returned; repeated vectors are rows of
@@ -18,15 +19,17 @@ their own; repeated ids are each returned; an empty table gives an empty result;
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import textops as T
 from millrace.llm.storage import table, written
 
-SHARD, BLOCK, LEAF = 16_384, 1_024, 256
+SHARD, LEAF = 16_384, 256
 
 
 class Tree:
@@ -60,13 +63,17 @@ class Tree:
         return node
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """The most that each query (row) can score in each node's box (column)."""
-        q = queries.astype(np.float64)
-        return np.maximum(q, 0) @ self.high.T.astype(np.float64) + np.minimum(q, 0) @ self.low.T.astype(np.float64)
+        """At least the most that each query (row) can score in each node's box (column)."""
+        q, low, high = (x.astype(np.float64) for x in (queries, self.low, self.high))
+        most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+        terms = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T
+        # sums of whole numbers below 2**53 are exact; else each of the conversions, products and sums may be off by 2**-53
+        return np.where(terms < 1 << 53, most, most + terms * (q.shape[1] + 8) * 2.0**-52)
 
     def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, least: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows of at least `least`, without the row of id own. bound: this query's row of bounds()."""
         found: list[tuple[int, int]] = []
+        bound = bound.tolist()  # Python compares a float with an int exactly
         ahead = [(-bound[0], 0)]
         while ahead:
             top, node = heapq.heappop(ahead)
@@ -78,12 +85,12 @@ class Tree:
                         heapq.heappush(ahead, (-bound[c], c))
                 continue
             rows = self.rows[node]
-            score = self.points[node] @ query
+            score = (self.points[node] @ query).astype(np.int64)
             keep = np.flatnonzero(score >= least)
             keep = keep[self.ids[rows[keep]] != own]
             if not len(keep):
                 continue
-            found += zip((-score[keep].astype(np.int64)).tolist(), self.ids[rows[keep]].tolist(), strict=True)
+            found += zip((-score[keep]).tolist(), self.ids[rows[keep]].tolist(), strict=True)
             if len(found) >= k:
                 found = heapq.nsmallest(k, found)
                 least = max(least, -found[-1][0])
@@ -91,69 +98,97 @@ class Tree:
 
 
 def _vectors(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
     return column.flatten().to_numpy().reshape(n, -1).astype(np.int64) if n else np.zeros((0, 0), np.int64)
 
 
+def _trees(ids: np.ndarray, width: np.ndarray, v: pa.Array) -> dict[int, Tree]:
+    """A shard's tree, one for each length of vectors."""
+    out = {}
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        if w:
+            out[int(w)] = Tree(ids[rows], _vectors(v.take(pa.array(rows))))
+    return out
+
+
 def _search(k: int):
-    """A group: one shard's rows (side 0) and one block of queries (side 1, with the kth score so far)."""
-
-    def run(t: pa.Table) -> pa.Table:
-        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-        width, least = t["width"].to_numpy(), t["least"].to_numpy()
-        out: tuple[list, list, list] = ([], [], [])
-        for w in np.unique(width):
-            rows, queries = np.flatnonzero((side == 0) & (width == w)), np.flatnonzero((side == 1) & (width == w))
-            if not len(rows) or not len(queries) or not w:
-                continue
-            tree = Tree(ids[rows], _vectors(t["v"].take(pa.array(rows))))
-            q = _vectors(t["v"].take(pa.array(queries)))
-            bounds = tree.bounds(q)
+    """Rows by shard, each shard's own (side 0) before its queries (side 1, with the kth score so far)."""
+
+    def run(batches):
+        at, kept, trees = None, [], None
+        for b in batches:
+            shard, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (side[1:] != side[:-1])) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(shard)]):
+                if lo == hi:
+                    continue
+                if shard[lo] != at:
+                    at, kept, trees = int(shard[lo]), [], None
+                part = b.slice(lo, hi - lo)
+                if side[lo] == 0:
+                    kept.append(part)
+                    continue
+                if trees is None:
+                    rows = pa.Table.from_batches(kept).combine_chunks().to_batches() if kept else []
+                    trees = _trees(rows[0].column(2).to_numpy(), rows[0].column(3).to_numpy(), rows[0].column(4)) if rows else {}
+                    kept = []
+                yield _answers(part, trees, k)
+
+    return run
+
+
+def _answers(b: pa.RecordBatch, trees: dict[int, Tree], k: int) -> pa.RecordBatch:
+    ids, width, least = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(5).to_numpy()
+    out: tuple[list, list, list] = ([], [], [])
+    for w in np.unique(width):
+        if (tree := trees.get(int(w))) is None:
+            continue
+        rows = np.flatnonzero(width == w)
+        q = _vectors(b.column(4).take(pa.array(rows)))
+        bounds = tree.bounds(q)
+        if tree.vectors.dtype == np.float64:
             if np.abs(q).max() < 1 << 26:
-                q = q.astype(tree.vectors.dtype)
+                q = q.astype(np.float64)
             else:
+                tree.vectors = tree.vectors.astype(np.int64)
                 tree.points = [p if p is None else p.astype(np.int64) for p in tree.points]
-            for i, r in enumerate(queries.tolist()):
-                for score, other in tree.search(q[i], ids[r], bounds[i], k, least[r]):
-                    out[0].append(ids[r])
-                    out[1].append(other)
-                    out[2].append(score)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
-
-    return run
+        for i, r in enumerate(rows.tolist()):
+            for score, other in tree.search(q[i], int(ids[r]), bounds[i], k, int(least[r])):
+                out[0].append(int(ids[r]))
+                out[1].append(other)
+                out[2].append(score)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["query_id", "vec_id", "score"])
 
 
 _FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD) -> DataFrame:
     """vectors, queries: id bigint, v array<bigint>. query_id, rank, vec_id, score: each query's k best rows but its own id."""
     from pyspark.sql import Window
 
-    n, n_queries = vectors.count(), queries.count()
-    shards, blocks = -(-n // shard) or 1, -(-n_queries // block) or 1
-    rows = vectors.select("id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    asked = queries.select("id", "v", F.size("v").alias("width"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    lowest = F.lit(-(1 << 62))
+    shards = -(-vectors.count() // shard) or 1
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), "id", F.size("v").alias("width"), "v")
+
+    rows, asked, lowest = dealt(vectors), dealt(queries), F.lit(-(1 << 62))
+    tasks = max(shards, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def found(pairs_rows: DataFrame, pairs_queries: DataFrame) -> DataFrame:
-        cols = ["shard", "block", "side", "id", "width", "v", "least"]
-        both = pairs_rows.withColumn("side", F.lit(0)).withColumn("least", lowest).select(cols).union(pairs_queries.withColumn("side", F.lit(1)).select(cols))
-        tasks = max(shards, blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return both.repartition(tasks, "shard", "block").groupBy("shard", "block").applyInArrow(_search(k), _FOUND)
+    def found(of: DataFrame) -> DataFrame:
+        cols = ["shard", "side", "id", "width", "v", "least"]
+        both = rows.withColumn("side", F.lit(0)).withColumn("least", lowest).select(cols).union(of.withColumn("side", F.lit(1)).select(cols))
+        return both.repartition(tasks, "shard").sortWithinPartitions("shard", "side").mapInArrow(T.tidy(_search(k)), _FOUND)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = None
+    every = found(asked.withColumn("least", lowest))
     if shards > 1:
-        # each block with one shard
-        once = rows.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.pmod(b, F.lit(shards)) == F.col("shard"))))
-        first = found(once, asked.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).withColumn("least", lowest))
-        first = written(first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth")).distinct(), "kth")
-        asked = asked.join(first, "id", "left").withColumn("least", F.coalesce("kth", lowest)).drop("kth")
-    else:
-        asked = asked.withColumn("least", lowest)
-    every = found(rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+        every = written(every, "own")
+        kth = every.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        asked = asked.join(kth, "id", "left").withColumn("least", F.coalesce("kth", lowest)).withColumn("own", F.col("shard"))
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> own")
+        every = every.union(found(asked))
     return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
