@@ -1,15 +1,15 @@
 """Substring dedup by content-defined chunks: a gear rolling hash cuts, digests find repeated chunks.
 
 A cut falls after a byte where `bits` bits of the gear hash (sum of a random value for each byte, doubled at each step; the bits
-read depend on the last `bits` + 16 bytes) are zero, at least `least` and at most `most` bytes after the last cut. Cuts depend
-on the text around them only, so an insertion moves the cuts after it and changes the chunks it touches alone. Of equal
-chunks (128-bit digest) the first in order of (doc_id, position) stays; a run of later copies is removed if it is at
-least `run` bytes long or the whole text, so that a phrase which recurs by chance in new text stays.
+read depend on the last `bits` + 16 bytes) are zero, at least `least` and at most `most` bytes after the last cut, and not
+within the last `least` bytes of a text. Cuts depend on the text around them only, so an insertion moves the cuts after it
+and changes the chunks it touches alone. Of equal chunks (128-bit digest) the first in order of (doc_id, position) stays; every
+later one is removed, whatever its length.
 
 A chunk that a third of all documents hold is counted by partial aggregation before the shuffle and joined back by a
 join that Spark can split.
 
-Defined cases: null or empty text has no chunks; a text shorter than `least` is one chunk; the first of repeated rows
+Defined cases: null or empty text has no chunks; a text shorter than twice `least` is one chunk; the first of repeated rows
 with the same doc_id is told by position only, so both keep it; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import textops as T
 from millrace.llm.storage import table, written
 
-BITS, LEAST, MOST, RUN = 5, 16, 1024, 100
+BITS, LEAST, MOST = 5, 56, 1024
 _GEAR = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPAN = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
@@ -45,19 +45,19 @@ def gear(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, bits: int = BITS, least: int = LEAST, most: int = MOST) -> list[int]:
     """Ends of the chunks of one text."""
     mask = np.uint32(((1 << bits) - 1) << 16)
-    out, last = [], 0
+    out, last, n = [], 0, len(data)
     for c in (np.flatnonzero((gear(data) & mask) == 0) + 1).tolist():
         while c - last > most:
             last += most
             out.append(last)
-        if c - last >= least:
+        if c - last >= least and n - c >= least:
             out.append(c)
             last = c
-    while len(data) - last > most:
+    while n - last >= most + least:
         last += most
         out.append(last)
-    if last < len(data):
-        out.append(len(data))
+    if last < n:
+        out.append(n)
     return out
 
 
@@ -65,7 +65,7 @@ def _chunks(params):
     def run(batches):
         for b in batches:
             ids = b.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            doc, frm, to, last_of, one, two = [], [], [], [], [], []
+            doc, frm, to, one = [], [], [], []
             for first, offsets, data in T.blocks(b.column(1)):
                 raw = data.tobytes()
                 for r, (lo, hi) in enumerate(itertools.pairwise(offsets.tolist())):
@@ -74,27 +74,29 @@ def _chunks(params):
                         doc.append(ids[first + r])
                         frm.append(last)
                         to.append(c)
-                        last_of.append(c == hi - lo)
                         one.append(hashlib.blake2b(raw[lo + last : lo + c], digest_size=16).digest())
                         last = c
             two = np.frombuffer(b"".join(one), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(doc, np.int64)), pa.array(np.array(frm, np.int32)), pa.array(np.array(to, np.int32)), pa.array(last_of, pa.bool_()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "from", "to", "last", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(doc, np.int64)), pa.array(np.array(frm, np.int32)), pa.array(np.array(to, np.int32)), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())],
+                ["doc_id", "from", "to", "d1", "d2"],
+            )
 
     return run
 
 
-def removed_spans(docs: DataFrame, run: int = RUN, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
+def removed_spans(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """docs: doc_id, text. doc_id, spans: the runs of later copies, for the documents that have any."""
-    chunks = docs.mapInArrow(T.tidy(_chunks((bits, least, most))), "doc_id bigint, `from` int, `to` int, last boolean, d1 bigint, d2 bigint")
+    # written, as two plans read them and texts should be cut once
+    chunks = written(docs.mapInArrow(T.tidy(_chunks((bits, least, most))), "doc_id bigint, `from` int, `to` int, d1 bigint, d2 bigint"), "chunks")
     many = chunks.groupBy("d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "from")).alias("first")).filter("c > 1").drop("c")
     later = chunks.join(many, ["d1", "d2"]).filter("doc_id <> first.doc_id or `from` <> first.`from`")
-    spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "to", "last"))).alias("x"))
+    spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("x"))
     merged = F.expr(
-        "aggregate(x, cast(array() as array<struct<`from`:int,`to`:int,last:boolean>>), (a, y) -> if(size(a) > 0 and element_at(a, -1).`to` = y.`from`, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).`from`, 'to', y.`to`, 'last', y.last))), concat(a, array(y))))"
+        "aggregate(x, cast(array() as array<struct<`from`:int,`to`:int>>), (a, y) -> if(size(a) > 0 and element_at(a, -1).`to` = y.`from`, "
+        "concat(slice(a, 1, size(a) - 1), array(named_struct('from', element_at(a, -1).`from`, 'to', y.`to`))), concat(a, array(y))))"
     )
-    long = F.filter(merged, lambda s: (s["to"] - s["from"] >= run) | ((s["from"] == 0) & s["last"]))
-    return spans.select("doc_id", F.transform(long, lambda s: F.struct(s["from"], s["to"])).alias("spans")).filter("size(spans) > 0")
+    return spans.select("doc_id", merged.alias("spans"))
 
 
 def cut_out(docs: DataFrame, spans: DataFrame, tail: str = "") -> DataFrame:
