@@ -5,10 +5,11 @@ others become rows (piece, position, token) from their bytes. One recursion step
 with the merge table (token, token, merged token), takes each piece's least rank, and contracts. Pieces without a further
 pair leave the recursion with their rows. Decoding joins ids with the vocabulary and aggregates bytes in order.
 
-Which pairs a step contracts: the leftmost one of the least rank. Where no token of lower rank begins or ends with the
-merged token, no pair that a merge could newly make comes before the other pairs of the same rank, and these are
-contracted in the same step from left to right, with the same result and far fewer steps for a long piece. A recursion
-runs a bounded number of steps and goes on from its last rows, so that what it keeps is bounded.
+Which pairs a step contracts, in pieces of every length alike: the leftmost one of the least rank. Where no token of lower
+rank begins or ends with the merged token, no pair that a merge could newly make comes before the other pairs of the same
+rank, and where pairs of other tokens that make the same token can't overlap them, these are contracted in the same step from left to right, with the same result and far fewer steps for a long
+piece. Of a run of overlapping pairs of that rank every other one is contracted, from its first. A recursion runs a bounded
+number of steps and goes on from its last rows, so that what it keeps is bounded.
 
 Defined cases: null and empty text have no ids and decode to no bytes; white space, very long pieces, repeated rows and texts are
 as any other; an empty table gives an empty result; other columns are ignored.
@@ -33,51 +34,33 @@ from millrace.llm.storage import bounded_batches, table
 SYMBOLS, LEG_ROWS, KEPT = 150_000, 1_500_000, 700_000
 #: Texts taken apart at a time.
 ROWS = 2_000
-#: Bytes from which a piece takes the steps that contract all pairs of a rank.
-LONG = 64
-
-#: A row knows its next token; k holds rank and position of its pair, so that the least k of a piece is its leftmost pair of
-#: least rank. Positions run on over all pieces. Neighbours are read off the order in which one thread's joins pass rows on;
-#: the query fails if that order is ever broken.
-_SHORT = """
-create or replace temp table leg as
-with recursive t(step, piece, pos, tok, nxt, live) as (
-  select * from (select 0, piece, pos, tok, lead(tok) over (partition by piece order by pos), true from state order by pos)
-  union all
-  (with s as (select t.*, (cast(m.rank as bigint) << 32) + pos as k from t left join merges m on m.a = t.tok and m.b = t.nxt where live and step < {steps}),
-        l as (select piece, min(k) as best from s group by piece)
-   select step + 1, piece, pos, case when k = best then best >> 32 else tok end, case when k = best then next_nxt when next_k = best then best >> 32 else nxt end,
-          case when last_pos > pos then error('rows out of order') else best is not null end
-   from (select s.*, best, lag(pos) over () as last_pos, lag(k) over () as last_k, lead(k) over () as next_k, lead(nxt) over () as next_nxt from s join l using (piece))
-   where best is null or last_k is distinct from best)
-)
-select piece, pos, tok, live from t where not live or step = {steps}
-"""
-_LONG = """
+#: A row is a token of a piece: a piece is named by its first byte's place, and places run on over all pieces. It knows the next token
+#: and its place. k holds rank and place of a row's pair, so that the least k of a piece is its leftmost pair of least rank. A run of
+#: hits holds equal tokens from `start` on, so a row's number in it is its distance from there in tokens.
+_STEPS = """
 create or replace temp table leg as
-with recursive t(step, piece, pos, tok, live) as (
-  select 0, piece, pos, tok, true from state
+with recursive t(step, piece, pos, tok, nxt, npos, live) as (
+  select 0, piece, pos, tok, nxt, npos, true from state
   union all
-  select step + 1, piece, row_number() over (partition by piece order by pos) - 1, tok, more from (
-    select step, piece, pos, coalesce(merged, tok) as tok, best is not null as more, lag(merged is not null, 1, false) over (partition by piece order by pos) as eaten
-    from (
-      select *, case when rank = best and (case when safe then run % 2 = 0 else pos = first end) then rank end as merged
-      from (
-        select *, min(case when rank = best then pos end) over (partition by piece) as first,
-               pos - max(case when rank is distinct from best then pos else -1 end) over (partition by piece order by pos) - 1 as run
-        from (
-          select *, min(rank) over (partition by piece) as best
-          from (
-            select step, piece, pos, tok, m.rank, m.safe
-            from (select step, piece, pos, tok, lead(tok) over (partition by piece order by pos) as nxt from t where live and step < {steps}) s
-            left join merges m on m.a = s.tok and m.b = s.nxt
-          )
-        )
-      )
-    )
-  ) where not eaten
+  (with s as (
+     select t.*, (cast(m.rank as bigint) << 32) + pos as k, m.rank, m.safe
+     from t left join merges m on m.a = t.tok and m.b = t.nxt where live and step < {steps}
+   ),
+   l as (select piece, min(k) as best from s group by piece),
+   h as (select s.*, best, cast(best >> 32 as int) as made, coalesce(k = best or (safe and rank = best >> 32), false) as hit from s join l using (piece)),
+   w as (
+     select *, greatest(piece, max(case when not hit then npos end) over (o rows between unbounded preceding and 1 preceding)) as start,
+            lag(pos) over o as before, lead(hit) over o as hit1, lead(hit, 2) over o as hit2, lead(nxt) over o as nxt1, lead(npos) over o as npos1
+     from h window o as (order by pos)
+   ),
+   c as (select *, pos > start and (pos - start) // (pos - before) % 2 = 1 as eaten from w)
+   select step + 1, piece, pos, case when hit then made else tok end,
+          case when hit then case when nxt1 is null then null when hit2 then made else nxt1 end when nxt is null then null when hit1 then made else nxt end,
+          case when hit then npos1 else npos end,
+          best is not null
+   from c where not eaten)
 )
-select * from t where not live or step = {steps}
+select piece, pos, tok, nxt, npos, live from t where not live or step = {steps}
 """
 
 
@@ -93,44 +76,55 @@ class Codec:
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.last: set[str] = set()
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": True})
-        a, b, rank = [], [], []
+        a, b, rank, safe = [], [], [], []
         least = dict.fromkeys(self.tokens.values(), 1 << 30)
         for token, r in self.tokens.items():
+            splits = []
             for i in range(1, len(token)):
                 x, y = self.tokens.get(token[:i]), self.tokens.get(token[i:])
                 for part in (x, y):
                     if part is not None:
                         least[part] = min(least[part], r)
                 if x is not None and y is not None:
-                    a.append(x)
-                    b.append(y)
-                    rank.append(r)
-        merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(rank, pa.int32()), "safe": pa.array([least[r] > r for r in rank])})
+                    splits.append((x, y))
+            for x, y in splits:
+                a.append(x)
+                b.append(y)
+                rank.append(r)
+                # pairs of other tokens that make the same token must not overlap this one
+                safe.append(not any((q == x and p != x) or (p == y and q != y) for p, q in splits))
+        merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "rank": pa.array(rank, pa.int32()), "safe": pa.array([least[r] > r and f for r, f in zip(rank, safe, strict=True)])})
         vocabulary = pa.table({"tok": pa.array(self.tokens.values(), pa.int32()), "bytes": pa.array([t.hex() for t in self.tokens], pa.string())})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("rows", rows)
             self.db.execute(f"create table {name} as select * from rows")
             self.db.unregister("rows")
 
-    def _recursion(self, pieces: list[bytes], query: str) -> list[np.ndarray]:
+    def _recursion(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece, by the recursive query."""
         sizes = np.array([len(p) for p in pieces])
-        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        heads, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+        tokens = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        ends = np.zeros(n, bool)
+        ends[heads + sizes - 1] = True
         state = pa.table({
-            "piece": pa.array(np.repeat(np.arange(len(pieces)), sizes).astype(np.int32)),
-            "pos": pa.array((np.arange(sizes.sum()) - (starts if query is _LONG else 0)).astype(np.int64)),
-            "tok": pa.array(self.byte[np.frombuffer(b"".join(pieces), np.uint8)]),
+            "piece": pa.array(np.repeat(heads, sizes)),
+            "pos": pa.array(np.arange(n)),
+            "tok": pa.array(tokens),
+            "nxt": pa.array(np.append(tokens[1:], 0).astype(np.int32), mask=ends),
+            "npos": pa.array(np.arange(1, n + 1)),
         })
         done = []
         while state.num_rows:
             self.db.register("state", state)
-            self.db.execute(query.format(steps=max(4, LEG_ROWS // state.num_rows)))
+            self.db.execute(_STEPS.format(steps=max(4, LEG_ROWS // state.num_rows)))
             self.db.unregister("state")
-            done.append(self.db.sql("select piece, pos, tok from leg where not live").to_arrow_table())
-            state = self.db.sql("select piece, pos, tok from leg where live order by piece, pos").to_arrow_table()
-        out = pa.concat_tables(done).sort_by([("piece", "ascending"), ("pos", "ascending")])
-        cut = np.searchsorted(out["piece"].to_numpy(), np.arange(1, len(pieces)))
-        return np.split(out["tok"].to_numpy(), cut)
+            done.append(self.db.sql("select pos, tok from leg where not live").to_arrow_table())
+            state = self.db.sql("select piece, pos, tok, nxt, npos from leg where live").to_arrow_table()
+        out = pa.concat_tables(done)
+        pos, tok = out["pos"].to_numpy(), out["tok"].to_numpy()
+        order = np.argsort(pos)
+        return np.split(tok[order], np.searchsorted(pos[order], heads[1:]))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids, by an ordered aggregation."""
@@ -150,17 +144,15 @@ class Codec:
         """Encode and decode pieces that are not known yet."""
         raw = [p.encode() for p in pieces]
         ids: list = [np.array([self.tokens[r]], np.int32) if r in self.tokens else None for r in raw]
-        hard = [i for i, x in enumerate(ids) if x is None]
-        for query, some in ((_SHORT, [i for i in hard if len(raw[i]) < LONG]), (_LONG, [i for i in hard if len(raw[i]) >= LONG])):
-            at = 0
-            while at < len(some):
-                end, n = at, 0
-                while end < len(some) and (end == at or n + len(raw[some[end]]) <= SYMBOLS):
-                    n += len(raw[some[end]])
-                    end += 1
-                for i, x in zip(some[at:end], self._recursion([raw[i] for i in some[at:end]], query), strict=True):
-                    ids[i] = x
-                at = end
+        some, at = [i for i, x in enumerate(ids) if x is None], 0
+        while at < len(some):
+            end, n = at, 0
+            while end < len(some) and (end == at or n + len(raw[some[end]]) <= SYMBOLS):
+                n += len(raw[some[end]])
+                end += 1
+            for i, x in zip(some[at:end], self._recursion([raw[i] for i in some[at:end]]), strict=True):
+                ids[i] = x
+            at = end
         for p, x, d in zip(pieces, ids, self.decode(ids), strict=True):
             self.known[p] = (len(x), ",".join(map(str, x.tolist())), d)
 
