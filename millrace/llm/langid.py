@@ -11,7 +11,8 @@ is what executors get. Every text is read whole.
 
 Defined cases: a null text and one without a letter have language `und`, score 0 and are rejected; a text of letters only
 that were never seen gets the class of the bias; with no labelled text at all everything is `und`; with one language
-learned, that one is predicted; extra columns are ignored; repeated rows are predicted each.
+learned, that one is predicted; extra columns are ignored, whatever their names; repeated rows are predicted each and learned
+from once.
 """
 
 from __future__ import annotations
@@ -120,19 +121,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE, doc: str = "doc_id") -> Model | N
     from pyspark.sql import Window
 
     bounded_batches(docs.sparkSession)
-    key = F.col(doc).cast("string")
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key) % 4 != 2)).select(F.col(doc).alias("doc_id"), "lang", F.xxhash64(key, F.lit(17)).alias("h"))
+    # only the three columns that are read, so that no other name can clash
+    docs = docs.select(F.col(doc).cast("string").alias("key"), F.col("lang").alias("label"), "text")
+    labelled = docs.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (F.crc32("key") % 4 != 2))
+    labelled = labelled.select("key", "label", F.xxhash64("key", F.lit(17)).alias("h"), F.xxhash64("text").alias("t"))
     # few least hashes of each partition and language first, so that no language meets whole in one task
-    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
-    some = labelled.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= sample)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample).select(F.col("doc_id").alias("pick"), "h")
-    texts = docs.join(F.broadcast(some), F.col(doc) == F.col("pick")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = texts.select("lang", "text", "h", doc).select("lang", "text", "h").mapInArrow(T.tidy(_picked), "label string, keys array<int>, counts array<int>, h bigint").toArrow()
+    part = Window.partitionBy("label", F.pmod("h", F.lit(64))).orderBy("h", "t")
+    some = labelled.distinct().withColumn("r", F.row_number().over(part)).filter(F.col("r") <= sample)
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "t"))).filter(F.col("r") <= sample).drop("r")
+    # a repeated row is one of the sample
+    texts = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(some), ["key", "label", "t"]).dropDuplicates(["key", "label", "t"])
+    rows = texts.select("label", "text", "h").mapInArrow(T.tidy(_picked), "label string, keys array<int>, counts array<int>, h bigint").toArrow()
     if not rows.num_rows:
         return None
     order = sorted(range(rows.num_rows), key=lambda i: (rows["h"][i].as_py(), rows["label"][i].as_py()))
     bags = [(rows["keys"][i].values.to_numpy(), rows["counts"][i].values.to_numpy()) for i in order]
-    return train([rows["label"][i].as_py() for i in order], bags)
+    model = train([rows["label"][i].as_py() for i in order], bags)
+    del rows, bags
+    T.trimmed()
+    return model
 
 
 def _picked(batches):
@@ -180,6 +187,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language is rejected go."""
+    """Pipeline stage: documents whose language is rejected go.
+
+    docs needs doc_id, text and lang; all columns pass through. A null text and one without a letter are rejected; rows with a
+    null or repeated doc_id are decided row by row; where no row has a label, or in an empty table, nothing is known and all
+    rows are rejected.
+    """
     model = fit(docs)
     return per_row(docs, lambda d: without_ids(d, predict(d, model).filter("rejected"), "doc_id"))

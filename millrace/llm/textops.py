@@ -42,14 +42,20 @@ def drop_caches() -> None:
         gc.collect()
 
 
+def trimmed() -> None:
+    """Freed memory goes back to the system."""
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run):
     """run over batches, for a worker process that others use later: freed memory goes back to the system at the end."""
 
     def tidied(batches):
         pa.set_memory_pool(pa.system_memory_pool())
         yield from run(batches)
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        trimmed()
 
     return tidied
 

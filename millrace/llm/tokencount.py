@@ -3,7 +3,7 @@
 The text is split at added tokens (each counts one), then by the byte-level pre-tokenizer's pattern. The symbols of a piece are
 its bytes; a heap holds the adjacent pairs that have a merge, least rank and then leftmost first; a popped pair whose
 symbols have changed since is stale and skipped; a merge relinks its neighbours and pushes their new pairs. A piece has as
-many tokens as it had symbols less its merges. Counts of pieces are kept in a table of bounded size for each task.
+many tokens as it had symbols less its merges. Counts of pieces are kept in a table of bounded size for each worker process.
 
 Defined cases: null and empty text have no tokens; a very long piece costs n log n; an empty table gives an empty result; repeated rows
 are counted each; other columns are ignored.
@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import textops as T
 from millrace.llm.storage import bounded_batches, table
 
 #: Pieces of which a task keeps the count; then the table starts anew.
@@ -94,11 +95,22 @@ class Counter:
         return sum(1 if i % 2 else self.ordinary(t) for i, t in enumerate(self.added.split(text)) if t)
 
 
+_counters: dict[str, Counter] = {}
+T.CACHES.append(_counters)
+
+
+def counter_of(path: str) -> Counter:
+    """The worker process's counter: its tables outlive a task."""
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every document. The file at path is read in each task."""
+    """doc_id, n_bytes, n_tokens, over_limit for every document. The file at path is read once in each worker process."""
 
     def run(batches):
-        counter = Counter(path)
+        counter = counter_of(path)
         for b in batches:
             texts = b.column(1).to_pylist()
             n = [counter.count(t) for t in texts]
@@ -108,7 +120,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, doc: str = "doc_
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.select(F.col(doc).alias("doc_id"), "text").mapInArrow(T.tidy(run), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
