@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import written
+from millrace.llm.storage import release, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
+        last = labels
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
         # the label's own label: jump over chains
@@ -25,5 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         new = written(jump.select("id", "component", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
         changed = new.filter("new <> component").limit(1).count()
         labels = new.select("id", F.col("new").alias("component"))
+        labels.written_to = new.written_to
+        release(links.sparkSession, last)
         if not changed:
+            release(links.sparkSession, both)
             return labels

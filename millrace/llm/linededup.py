@@ -22,6 +22,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,6 @@ from millrace.llm.storage import of_ids, per_row, release, table, written
 RANKS = 1 << 16
 #: Blanks within a line other than the space.
 _BLANKS = "\t\x0b\x0c\r"
-_LOW = (1 << 47) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def _hashed(lines: DataFrame, k: int) -> DataFrame:
     return _worded(lines).withColumn("t", F.transform(starts, lambda i: _token(i, k))).drop("w")
 
 
-def _ranks(lines: DataFrame, k: int) -> Column:
-    """The rank of each bucket of tokens, rarest first, as one literal of RANKS numbers."""
+def _ranks(lines: DataFrame, k: int) -> DataFrame:
+    """One row with `rank`: the rank of each bucket of tokens, rarest first, RANKS numbers."""
     # words are exploded, not an array of tokens: so the tokens are made in generated code. Outer: a filter that Spark
     # infers for a plain explode would be pushed down and split the line anew
     at = _worded(lines.select("line")).select("w", F.posexplode_outer("w").alias("i", "word"))
@@ -70,13 +70,17 @@ def _ranks(lines: DataFrame, k: int) -> Column:
         n[b] = c
     rank = np.empty(RANKS, np.int64)
     rank[np.argsort(n, kind="stable")] = np.arange(RANKS)
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+    rows = lines.sparkSession.createDataFrame(pa.table({"rank": pa.array([rank], pa.list_(pa.int64()))}))
+    return written(rows, "ranks")
 
 
-def _ordered(ranks: Column) -> Column:
-    """The distinct tokens, rarest first: the rank of a token's bucket (its low 16 bits) above its other 47 bits but one."""
-    token = F.transform("t", lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(RANKS - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
-    return F.sort_array(F.array_distinct(token))
+def _ordered(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
+    """hashed with t as the distinct tokens, rarest first: the rank of a token's bucket (its low 16 bits) above its other 47 bits but one."""
+    # a scalar subquery, used once, so that Spark puts it into the expression: a literal of RANKS numbers would stand in
+    # the text of every plan built on it
+    with_ranks = hashed.withColumn("ranks", ranks.select("rank").scalar())
+    token = F.transform("t", lambda h: F.shiftleft(F.get(F.col("ranks"), h.bitwiseAND(RANKS - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
+    return with_ranks.select("doc_id", "h1", F.sort_array(F.array_distinct(token)).alias("t"))
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -85,14 +89,14 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     lines = _lines(docs)
     hashed = _hashed(lines, k)
     ranks = _ranks(lines, k)
-    sets = hashed.select("doc_id", "h1", _ordered(ranks).alias("t"))
+    sets = _ordered(hashed, ranks)
     n = F.size("t")
     prefixes = sets.select("doc_id", "h1", n.alias("n"), F.posexplode_outer(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
     prefixes = written(prefixes.select("token", "h1", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("pos")).alias("np"), F.col("doc_id").alias("doc")), "prefixes")
     # most tokens are one line's: only those of several stay
     shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("doc").alias("least")).filter("lo < hi")
     shared = written(shared.select("token", "least"), "shared")
-    release(spark)
+    release(spark, ranks)
     entries = prefixes.join(shared, "token")
     entries = written(entries.groupBy("token", "h1", "np", "least").agg(F.min("doc").alias("doc")), "entries")
     release(spark, prefixes, shared)
@@ -140,12 +144,11 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with n_lines, n_removed and the kept text."""
+    """doc_id, n_lines, n_removed and the kept text of docs (doc_id, text)."""
     gone = removed.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
-    both = docs.join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    both = docs.select("doc_id", "text").join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get(F.col("lines"), i)), "\n")
-    both = both.withColumn("kept", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
-    return both.withColumn("n_lines", F.coalesce(F.size("lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("gone", "lines")
+    return both.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, k: int = 5, doc: str = "doc_id") -> DataFrame:
@@ -161,11 +164,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated lines; a document of which nothing is left goes."""
+    """Pipeline stage: texts without their repeated lines; a document of which nothing is left goes.
+
+    docs needs doc_id and text; n_chars, where there is one, becomes the length of a text that changed; all other columns pass
+    through, whatever their names. Null and empty texts stay as they are; rows with a null or repeated doc_id are decided
+    row by row; of equal lines the first place stays; an empty table gives an empty one.
+    """
 
     def stage(d: DataFrame) -> DataFrame:
-        out = without_lines(d, written(removed_lines(d.select("doc_id", "text")), "removed")).filter("n_removed < n_lines or n_lines = 0")
-        return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(d.schema["n_chars"].dataType)).select(d.columns)
+        texts = d.select("doc_id", "text")
+        gone = written(removed_lines(texts), "removed").groupBy("doc_id").agg(F.collect_set("no").alias("no"))
+        # the other columns travel in one struct, so that none of their names can clash
+        both = d.select("doc_id", F.struct(*d.columns).alias("row")).join(gone, "doc_id", "left")
+        lines = F.split("row.text", "\n")
+        kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "no"), lambda i: F.get(lines, i)), "\n")
+        both = both.filter(F.col("no").isNull() | (F.size("no") < F.size(lines))).withColumn("kept", F.when(F.col("no").isNull(), F.col("row.text")).otherwise(kept))
+        new = {"text": F.col("kept")}
+        if "n_chars" in d.columns:
+            new["n_chars"] = F.when(F.col("no").isNotNull(), F.length("kept")).otherwise(F.col("row.n_chars")).cast(d.schema["n_chars"].dataType)
+        return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in d.columns])
 
     return per_row(docs, stage)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and Spark is one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         # a core setting, which a running session refuses to change: the context holds the folder instead
         context = spark.sparkContext
         if not context.getCheckpointDir():
@@ -60,7 +63,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of plans that are gone."""
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files and broadcasts of plans that are gone."""
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

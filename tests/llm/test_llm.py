@@ -124,7 +124,7 @@ def test_byte_bpe_matches_library(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(4)
-    texts = [*ODD, "ab" * 400, "<|endoftext|> it's", "".join(r.choice("abcdefgh") for _ in range(1500)), *["".join(chr(r.choice([32, 10, 0x85, 0x1C, 39, 97, 115, 0xE9, 0x4E00, 0x1F600, 48])) for _ in range(40)) for _ in range(40)]]
+    texts = [*ODD, "ab" * 400, "a" * 20001, "=" * 700, "<|endoftext|> it's", "".join(r.choice("abcdefgh") for _ in range(1500)), *["".join(chr(r.choice([32, 10, 0x85, 0x1C, 39, 97, 115, 0xE9, 0x4E00, 0x1F600, 48])) for _ in range(40)) for _ in range(40)]]
     for x in bytebpe.encode(frame(spark, texts), path, P.PATTERN, with_ids=True).collect():
         t = texts[x.doc_id] or ""
         assert x.ids == enc.encode_ordinary(t) and bytes(x.decoded) == t.encode() and x.n_tokens == len(x.ids)
@@ -143,15 +143,15 @@ def test_token_counts_match_library(spark):
         assert (x.n_tokens, x.n_bytes, x.over_limit) == (n, len(t.encode()), n > 1024)
 
 
-@pytest.mark.parametrize("shard,block", [(16384, 1024), (40, 5)])
-def test_top_k(spark, shard, block):
+@pytest.mark.parametrize("shard", [16384, 40])
+def test_top_k(spark, shard):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(200, 6))
     v[50:90] = v[50]
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(300, None), (320, [1.0, None] * 3), (340, [float("nan")] * 6), (360, [float("inf")] * 6)]
     use = kdtree.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {}
-    for r in kdtree.top_k(use, use.filter("id % 20 = 0"), shard=shard, block=block).collect():
+    for r in kdtree.top_k(use, use.filter("id % 20 = 0"), shard=shard).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     q = np.floor(v * 64).astype(np.int64)
     for i in range(0, 200, 20):
@@ -160,6 +160,20 @@ def test_top_k(spark, shard, block):
     assert sorted(got) == list(range(0, 200, 20))
 
 
+@pytest.mark.parametrize("shard", [16384, 50])
+def test_top_k_ties_of_large_vectors(spark, shard):
+    rng = np.random.default_rng(1)
+    v = rng.integers(-(1 << 29), 1 << 29, (400, 4))
+    v[rng.permutation(400)[:300]] = v[:3].repeat(100, axis=0)
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "id long, v array<bigint>")
+    got = {}
+    for r in kdtree.top_k(rows, rows.filter("id % 20 = 0"), shard=shard).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for i in range(0, 400, 20):
+        best = sorted((-sum(a * b for a, b in zip(v[i].tolist(), v[j].tolist(), strict=True)), j) for j in range(400) if j != i)[:20]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+
+
 def brute_removed(raw, width):
     seen = {}
     for r in raw:
@@ -175,9 +189,10 @@ def brute_removed(raw, width):
     return out
 
 
-@pytest.mark.parametrize("gram_bytes", [2 << 20, 400])
-def test_suffix_dedup(spark, monkeypatch, gram_bytes):
+@pytest.mark.parametrize("gram_bytes,splits", [(2 << 20, 3), (400, 1), (400, 3)])
+def test_suffix_dedup(spark, monkeypatch, gram_bytes, splits):
     monkeypatch.setattr(suffixdedup, "GRAM_BYTES", gram_bytes)
+    monkeypatch.setattr(suffixdedup, "SPLITS", splits)
     r = random.Random(2)
     base = "".join(r.choice("abc é") for _ in range(2500))
     texts = ["".join(base[a : a + r.randint(50, 400)] for a in r.choices(range(2000), k=r.randint(1, 5))) for _ in range(30)] + ODD
@@ -188,17 +203,84 @@ def test_suffix_dedup(spark, monkeypatch, gram_bytes):
         assert x.n_spans == int((np.diff(np.concatenate([[0], m.astype(int)])) == 1).sum())
 
 
+def test_long_texts_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    r, texts = random.Random(3), []
+    for n in (5000, 700, 150):
+        texts.append("".join(r.choice("ab c") for _ in range(n)))
+
+    def windows():
+        batch = pa.record_batch([pa.array([0, 1, 2]), pa.array(texts)], ["doc_id", "text"])
+        out = {}
+        for b in suffixdedup._segment_rows(200)([batch]):
+            for gram, _, doc, start, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for i in range(start, start + n - 199):
+                    assert (doc, i) not in out
+                    out[doc, i] = gram
+        return out
+
+    whole = windows()
+    monkeypatch.setattr(suffixdedup, "SLICE", 900)
+    monkeypatch.setattr(suffixdedup.T, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(suffixdedup.T.blocks, "__defaults__", (900,))
+    assert windows() == whole and len(whole) == 4801 + 501
+
+
+def two_symbol_parts(seed):
+    r = random.Random(seed)
+    return [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(40)] + [b"a" * 50]
+
+
 def test_merged_transforms_in_small_shards():
-    r = random.Random(5)
-    parts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(40)] + [b"a" * 50]
+    parts = two_symbol_parts(5)
     flags, offsets = suffixdedup.repeated(parts, width=16, symbol=4, shard_bytes=64)
     seen = [p[i : i + 16] for p in parts for i in range(len(p) - 15)]
     want = [i + 16 <= len(p) and seen.count(p[i : i + 16]) > 1 for p in parts for i in range(len(p))]
     assert flags.tolist() == want
 
 
+def test_merge_rests_on_the_shards_orders(monkeypatch):
+    parts = two_symbol_parts(6)
+    right = suffixdedup.repeated(parts, width=16, symbol=4, shard_bytes=64)[0]
+    true_order = suffixdedup.shard_order
+    # one falsified shard is enough to change the result
+    calls = []
+
+    def falsified(codes, after, depth):
+        calls.append(1)
+        return true_order(codes, after, depth)[::-1] if len(calls) == 3 else true_order(codes, after, depth)
+
+    monkeypatch.setattr(suffixdedup, "shard_order", falsified)
+    assert (suffixdedup.repeated(parts, width=16, symbol=4, shard_bytes=64)[0] != right).any()
+
+
+def test_common_prefixes_and_early_end():
+    # one-byte symbols: the merged rows are the suffixes in order, the prefixes those of neighbours
+    shards, texts = [[b"banana", b"bandana"], [b"ananas", b"cab"]], []
+    symbols, ends, suffixes = [], [], []
+    for shard in shards:
+        flat = b"".join(shard)
+        end = np.repeat(np.cumsum([len(t) for t in shard]), [len(t) for t in shard])
+        start = end - np.repeat([len(t) for t in shard], [len(t) for t in shard])
+        at = np.arange(len(flat))
+        own, bwt = suffixdedup.transform(np.frombuffer(flat, np.uint8).astype(np.int32), np.where(at > start, at - 1, -1), np.where(at + 1 < end, at + 1, -1), 32)
+        symbols.append(bwt)
+        ends.append(len(shard))
+        suffixes += [flat[o : end[o]] if o >= 0 else b"" for o in own.tolist()]
+    order, common, rounds = suffixdedup.merge(symbols, ends, 32)
+    merged = [suffixes[i] for i in order.tolist()]
+    assert merged == sorted(merged)
+    for i in range(1, len(merged)):
+        n = 0
+        while n < min(len(merged[i]), len(merged[i - 1])) and merged[i][n] == merged[i - 1][n]:
+            n += 1
+        assert common[i] == n
+    assert rounds < 10
+
+
 def test_chunks_resist_shifts(spark):
-    passage = prose(7, 80)
+    passage = prose(7, 250)
     texts = [prose(11, 90) + " " + passage + " " + prose(12, 50), "X" + prose(13, 33) + " " + passage + prose(14, 44), prose(15, 300), passage, *ODD]
     got = {r.doc_id: r for r in chunks.dedup_chunks(frame(spark, texts)).collect()}
     assert got[0].n_removed == 0 and got[2].n_removed == 0
@@ -208,10 +290,9 @@ def test_chunks_resist_shifts(spark):
 
 def test_chunks_short_whole_copies(spark):
     short, passage = "an own line of ninety bytes or so, that stands in two documents, and in both as all there is", prose(21, 60)
-    texts = [short, "tiny", prose(22, 80) + " tiny " + passage, short, "tiny", short + " " + prose(23, 80), passage[:60] + prose(24, 60), "", None]
-    assert len(short) < chunks.RUN
+    texts = [short, "tiny", prose(22, 80) + " tiny " + passage, short, "tiny", "", None]
     got = {r.doc_id: r for r in chunks.dedup_chunks(frame(spark, texts)).collect()}
-    assert [got[i].n_removed for i in range(len(texts))] == [0, 0, 0, len(short), 4, 0, 0, 0, 0]
+    assert [got[i].n_removed for i in range(len(texts))] == [0, 0, 0, len(short), 4, 0, 0]
     assert [got[i].n_spans for i in (3, 4)] == [1, 1] and got[3].kept_sha256 == hashlib.sha256(b"").hexdigest()
 
 
@@ -253,18 +334,57 @@ def test_secrets_at_every_place(spark):
     assert [texts[d].rindex(c) + 1 for d, c in ((0, key), (1, key), (3, plain))] == [next(r.start for r in rows if (r.doc_id, r.candidate) == x) for x in ((0, key), (1, key), (3, plain))]
 
 
-def test_empty_tables(spark):
-    docs = frame(spark, ["x"]).filter("doc_id < 0")
-    items = spark.createDataFrame([], "item_id long, text string")
-    assert not decontaminate.decontaminate(docs, items).collect()
-    assert not linededup.dedup_lines(docs).collect()
-    assert not langid.predict(docs, langid.fit(docs)).collect()
-    assert not neardup.near_duplicates(docs).collect()
-    assert not suffixdedup.dedup_substrings(docs).collect()
-    assert not chunks.dedup_chunks(docs).collect()
+def operators(spark, sf_dir=""):
+    """Every operator on a table of documents: name -> function of docs giving its result."""
+    items = spark.createDataFrame([(1, prose(31, 25))], "item_id long, text string")
+    forest = secrets.train(secrets.labelled_findings(spark, 600))
+    return {
+        "op1": lambda d: decontaminate.decontaminate(d, items),
+        "op2": linededup.dedup_lines,
+        "op3": lambda d: langid.predict(d, langid.fit(d)),
+        "op4": lambda d: bytebpe.encode(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
+        "op6": lambda d: tokencount.count_tokens(d, P.path("byte_bpe_50k.json")),
+        "op7": suffixdedup.dedup_substrings,
+        "op8": neardup.near_duplicates,
+        "op9": lambda d: secrets.scan(d, forest),
+        "op10": chunks.dedup_chunks,
+    }
+
+
+def stages(spark, sf_dir):
+    import corpus_pipeline
+
+    return {name: (lambda d, stage=stage: stage(spark, d, sf_dir)) for name, stage in corpus_pipeline.STAGES}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, prose(31, 25))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = corpus(spark, [(1, "x", "en")]).filter("doc_id < 0")
+    for name, run in (operators(spark) | stages(spark, tmp_path)).items():
+        assert not run(docs).collect(), name
+    assert not decontaminate.decontaminate(corpus(spark, [(1, "x", "en")]), spark.createDataFrame([], "item_id long, text string")).filter("contaminated").collect()
     use = kdtree.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert not kdtree.top_k(use, use).collect()
-    assert not bytebpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+
+
+#: Names that stand inside the operators' own plans.
+INNER = ["h", "pick", "gone", "lines", "kept", "n_lines", "n_removed", "rejected", "key", "label", "spans", "n", "id", "row", "no", "c", "t", "r", "doc", "component_id"]
+
+
+def test_clashing_columns_nulls_and_repeats(spark, tmp_path):
+    spark.createDataFrame([(1, prose(31, 25))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [t for t in near(5) if t][:20] + [f"{prose(50, 20)} {prose(31, 25)}", "token = \"" + hashlib.sha1(b"x").hexdigest() + "\""] + ODD
+    plain = corpus(spark, [(i, t, None if i % 5 == 0 else "en") for i, t in enumerate(texts)]).drop("n_chars")
+    odd = plain.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(INNER)])
+    both = (operators(spark) | stages(spark, tmp_path)).items()
+    for name, run in both:
+        a, b = run(plain), run(odd)
+        cols = a.columns
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(cols).collect())), name
+        # stages but the last hand on all columns as they came
+        if name in ("language_id", "line_dedup", "near_dedup", "decontamination"):
+            assert b.columns == odd.columns, name
+            assert not b.filter(" or ".join(f"{n} <> 'x{i}'" for i, n in enumerate(INNER))).collect(), name
 
 
 def corpus(spark, rows):
@@ -305,7 +425,7 @@ def test_chunks_against_brute_force(spark):
         hashes = [sum(int(chunks._GEAR[raw[p - j]]) << j for j in range(min(32, p + 1))) & 0xFFFFFFFF for p in range(len(raw))]
         for p in range(1, len(raw) + 1):
             zero = hashes[p - 1] >> 16 & (1 << chunks.BITS) - 1 == 0
-            if p == len(raw) or p - last == chunks.MOST or (zero and p - last >= chunks.LEAST):
+            if p == len(raw) or (len(raw) - p >= chunks.LEAST and (p - last == chunks.MOST or (zero and p - last >= chunks.LEAST))):
                 if raw[last:p] in seen:
                     if runs and runs[-1][1] == last:
                         runs[-1][1] = p
@@ -313,7 +433,6 @@ def test_chunks_against_brute_force(spark):
                         runs.append([last, p])
                 seen.add(raw[last:p])
                 last = p
-        runs = [(a, b) for a, b in runs if b - a >= chunks.RUN or b - a == len(raw)]
         kept = b"".join(raw[a:b] for a, b in zip([0, *[y for _, y in runs]], [*[x for x, _ in runs], len(raw)], strict=True))
         want[i] = (len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in chunks.dedup_chunks(frame(spark, texts)).collect()}
