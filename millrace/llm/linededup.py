@@ -39,27 +39,35 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
+def _with_words(lines: DataFrame) -> DataFrame:
+    """lines with anything but blanks."""
+    return lines.filter(F.length(F.trim("line", F.lit(" " + _BLANKS))) > 0)
+
+
 def _worded(lines: DataFrame) -> DataFrame:
-    """lines with words and the column w: their words. Split at one literal character, which needs no regular expression."""
+    """lines with words and the column w: the hashes of their words. Split at one literal character, which needs no regular expression."""
     spaced = F.col("line")
     for b in _BLANKS:
         spaced = F.replace(spaced, F.lit(b), F.lit(" "))
-    return lines.withColumn("w", F.array_remove(F.split(spaced, " "), "")).filter(F.size("w") > 0)
+    return _with_words(lines).withColumn("w", F.transform(F.array_remove(F.split(spaced, " "), ""), lambda word: F.xxhash64(word)))
 
 
 def _token(i: Column, k: int) -> Column:
-    """The hash of the run of k words from i on; nulls beyond the end change no hash, so a line of fewer words has one token."""
+    """The hash of the run of k word hashes from i on; nulls beyond the end change no hash, so a line of fewer words has one token."""
     return F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(k)])
 
 
 def _hashed(lines: DataFrame, k: int) -> DataFrame:
     """lines with words and the column t: the hashes of the line's tokens."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - k, F.lit(0)))
-    return _worded(lines).withColumn("t", F.transform(starts, lambda i: _token(i, k))).drop("w")
+    # a struct of k words has the hash of the k words; runs are zipped in generated code, so the function has one step a token
+    n = F.size("w") - (k - 1)
+    runs = F.arrays_zip(*[F.slice("w", j + 1, F.greatest(n, F.lit(0))) for j in range(k)])
+    tokens = F.when(n < 2, F.array(_token(F.lit(0), k))).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
+    return _worded(lines).withColumn("t", tokens).drop("w")
 
 
 def _ranks(lines: DataFrame, k: int) -> DataFrame:
-    """One row with `rank`: the rank of each bucket of tokens, rarest first, RANKS numbers."""
+    """One row with `rank`: the rank of each bucket of tokens, rarest first, RANKS numbers, in the upper 16 bits but one."""
     # words are exploded, not an array of tokens: so the tokens are made in generated code. Outer: a filter that Spark
     # infers for a plain explode would be pushed down and split the line anew
     at = _worded(lines.select("line")).select("w", F.posexplode_outer("w").alias("i", "word"))
@@ -69,7 +77,7 @@ def _ranks(lines: DataFrame, k: int) -> DataFrame:
     for b, c in counts:
         n[b] = c
     rank = np.empty(RANKS, np.int64)
-    rank[np.argsort(n, kind="stable")] = np.arange(RANKS)
+    rank[np.argsort(n, kind="stable")] = np.arange(RANKS) << 47
     rows = lines.sparkSession.createDataFrame(pa.table({"rank": pa.array([rank], pa.list_(pa.int64()))}))
     return written(rows, "ranks")
 
@@ -79,7 +87,7 @@ def _ordered(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
     # a scalar subquery, used once, so that Spark puts it into the expression: a literal of RANKS numbers would stand in
     # the text of every plan built on it
     with_ranks = hashed.withColumn("ranks", ranks.select("rank").scalar())
-    token = F.transform("t", lambda h: F.shiftleft(F.get(F.col("ranks"), h.bitwiseAND(RANKS - 1).cast("int")), 47).bitwiseOR(F.shiftrightunsigned(h, 17)))
+    token = F.transform("t", lambda h: F.get(F.col("ranks"), h.bitwiseAND(RANKS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 17)))
     return with_ranks.select("doc_id", "h1", F.sort_array(F.array_distinct(token)).alias("t"))
 
 
@@ -100,7 +108,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     entries = prefixes.join(shared, "token")
     entries = written(entries.groupBy("token", "h1", "np", "least").agg(F.min("doc").alias("doc")), "entries")
     release(spark, prefixes, shared)
-    place = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
+    place = written(_with_words(lines).groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
     release(spark)
 
     def side(df: DataFrame, s: str) -> DataFrame:
