@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters folded one to one, and letters that become two.
-FOLD_FROM = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūçćčñńšśžźżýÿłđ"
-FOLD_TO = "aaaaaaaeeeeeiiiiiooooooouuuuucccnnsszzzyyld"
-FOLD_TWO = (("æ", "ae"), ("œ", "oe"), ("ß", "ss"), ("þ", "th"))
+#: Letters that have no decomposition, by what they are read as; capitals alike.
+LETTERS = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "ħ": "h"}
 #: Legal suffixes of company names, as they read after normalisation.
-SUFFIXES = ("ab", "ag", "as", "aps", "bv", "co", "company", "corp", "corporation", "gmbh", "group", "holding", "holdings", "inc", "incorporated", "limited", "llc", "ltd", "nv", "oy", "plc", "sa", "sarl", "sas", "se", "spa", "srl")
+SUFFIXES = (
+    "inc", "llc", "ltd", "limited", "gmbh", "ag", "ab", "as", "bv", "nv", "sa", "sas", "sarl", "srl", "spa", "se", "oy", "oyj", "plc",
+    "corp", "corporation", "co", "company", "aps", "kft", "sp", "zoo", "sl", "ug", "kg", "eg", "holding", "group", "the",
+)
+
+
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """(letters, what each becomes, [(letter, letters)]) of Latin letters and signs, by their compatibility decomposition without marks."""
+    one, to, more = [], [], []
+    for c in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
+        c = chr(c)
+        plain = LETTERS.get(c) or LETTERS.get(c.lower(), "").upper() if c != "ẞ" else ""
+        out = "".join(x for x in unicodedata.normalize("NFKD", plain or c) if not unicodedata.combining(x))
+        if out == c or not any(x.isalnum() for x in out):
+            continue
+        if len(out) == 1:
+            one.append(c)
+            to.append(out)
+        else:
+            more.append((c, out))
+    return "".join(one), "".join(to), more
+
+
+FOLD_FROM, FOLD_TO, FOLD_MORE = _folds()
+
+
+def fold(c: Column) -> Column:
+    """Latin letters without accents, ligatures and signs spelt out. Text in ASCII is passed on as it is."""
+    out = F.translate(F.regexp_replace(c, r"[\u0300-\u036F]", ""), FOLD_FROM, FOLD_TO)
+    letters = F.create_map(*[F.lit(x) for pair in FOLD_MORE for x in pair])
+    spelt = F.array_join(F.transform(F.split(out, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
+    out = F.when(out.rlike("[" + "".join(a for a, _ in FOLD_MORE) + "]"), spelt).otherwise(out)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
     """Lower case without accents or punctuation, single blanks; null becomes empty."""
-    out = F.translate(F.lower(F.coalesce(c, F.lit(""))), FOLD_FROM, FOLD_TO)
-    for a, b in FOLD_TWO:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(fold(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def normalize_company(c: Column) -> Column:
     """normalize_text without dotted initialisms' dots and trailing legal suffixes, unless nothing else is left."""
-    joined = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\b\p{L})\.(?=\p{L}\b|\s|,|$)", "")
-    norm, sfx = normalize_text(joined), "|".join(SUFFIXES)
-    return F.when(norm.rlike(rf"^(?:(?:the|{sfx})(?: |$))+$"), normalize_text(c)).otherwise(F.regexp_replace(norm, rf"(?: (?:{sfx}))+$", ""))
+    joined = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)|(?<=\b[A-Za-z]\.[A-Za-z])\.", "")
+    sfx = "|".join(SUFFIXES)
+    left = F.regexp_replace(normalize_text(joined), rf"(?:(?:^| )(?:{sfx}))+$", "")
+    return F.when(left == "", normalize_text(c)).otherwise(left)
 
 
 def normalize_title(c: Column) -> Column:
@@ -95,3 +125,16 @@ def title_words(slug: Column) -> Column:
 def canonical_url(c: Column) -> Column:
     """A URL without query, fragment and trailing slashes."""
     return F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"/+$", "")
+
+
+def posting_url_id(c: Column) -> Column:
+    """The number of a posting on the network's site: the whole last part of the path, or six digits or more at its end; else null."""
+    part = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)linkedin\.com/(?:comm/)?jobs/view/([^/?#\s\"'<>]+)", 1)
+    return F.nullif(F.when(part.rlike(r"^\d+$"), part).otherwise(F.regexp_extract(part, r"(\d{6,})\s*$", 1)), F.lit(""))
+
+
+def network_url(c: Column) -> Column:
+    """A posting's one address; other addresses without query, fragment, the mail prefix and trailing slashes. Null is empty."""
+    number = posting_url_id(c)
+    other = F.rtrim(F.replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"(?s)[?#].*$", ""), F.lit("/comm/"), F.lit("/")), F.lit("/"))
+    return F.when(number.isNotNull(), F.concat(F.lit("https://www.linkedin.com/jobs/view/"), number)).otherwise(other)

@@ -1,5 +1,5 @@
 """Named plans over the driver tables, grouped by topic."""
 
-from millrace.plans import core, literals, records, relational
+from millrace.plans import core, literals, records, relational, run
 
-MODULES = [core, relational, literals, records]
+MODULES = [core, relational, literals, records, run]

@@ -33,12 +33,15 @@ def query(sql: str | None = None):
     return add
 
 
-#: P1 as SQL over a column.
+#: P1 as SQL over a column, by the database's own removal of accents; signs that are spelt out stand here by themselves.
+_SPELT = "æ ae œ oe ß ss þ th ø o ł l đ d ð d ı i ħ h ﬁ fi ﬂ fl ĳ ij º o ª a ² 2 ³ 3 ¹ 1 µ μ".split()
+
+
 def norm_sql(c: str) -> str:
-    out = f"translate(lower(coalesce({c}, '')), '{X.FOLD_FROM}', '{X.FOLD_TO}')"
-    for a, b in X.FOLD_TWO:
-        out = f"replace({out}, '{a}', '{b}')"
-    return rf"trim(regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+    out = f"lower(coalesce({c}, ''))"
+    for x, y in zip(_SPELT[::2], _SPELT[1::2], strict=True):
+        out = f"replace({out}, '{x}', '{y}')"
+    return rf"trim(regexp_replace(strip_accents({out}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
 N = norm_sql("text")
@@ -113,14 +116,13 @@ def dedupe_documents(spark, sf_dir):
 
 
 def _cascaded(spark, sf_dir):
-    norm = X.normalize_text(F.col("text"))
     return C.cascade(
-        _deduped(spark, sf_dir).withColumn("norm", norm),
+        C.once(_deduped(spark, sf_dir), "norm", X.normalize_text(F.col("text"))),
         [
             C.excluded("text_excluded", F.col("norm"), EXCLUDE),
             C.rule("language", ~F.col("lang").isin(LANGS), F.col("lang")),
             C.required("missing_keyword", F.col("norm"), INCLUDE),
-            C.rule("too_short", F.length(F.trim("text")) < MIN_CHARS),
+            C.too_short(F.col("text"), MIN_CHARS),
         ],
     )
 
@@ -131,7 +133,7 @@ REJECT_SQL = (
     + " ".join(f"when {_contains(p)} then 'text_excluded'" for p in EXCLUDE)
     + f" when lang not in ({', '.join(repr(x) for x in LANGS)}) then 'language' when not ("
     + " or ".join(_contains(p) for p in INCLUDE)
-    + f") then 'missing_keyword' when length(trim(text)) < {MIN_CHARS} then 'too_short' end category from n) "
+    + f") then 'missing_keyword' when length(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) < {MIN_CHARS} then 'too_short' end category from n) "
 )
 
 
@@ -182,9 +184,9 @@ def cap_before_rank(spark, sf_dir):
 
 
 @query("""with r as (select doc_id, lang, row_number() over (partition by lang order by n_chars desc, doc_id) rank from documents)
-select doc_id, cast(rank as int) rank, case when rank > 10 then 'over cap' else '' end detail from r""")
+select doc_id, case when rank > 10 then 'over cap' else '' end detail from r""")
 def bucket_rank(spark, sf_dir):
-    return R.cap(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 10, ["lang"]).select("doc_id", "rank", "detail")
+    return R.cap(table(spark, sf_dir, "documents"), "doc_id", [F.desc("n_chars"), F.col("doc_id")], 10, ["lang"]).select("doc_id", "detail")
 
 
 @query()

@@ -1,6 +1,7 @@
 """Postings from the payloads of boards, an aggregator and alert mails (S1-S20): JSON text in, one schema out.
 
-Payloads are read with fixed schemas in permissive mode; rows without title or address are dropped, a malformed payload gives no rows.
+Payloads are read with fixed schemas in permissive mode, as a bare list or as a list in one of the known wrappers; rows without title or
+address are dropped, a malformed payload gives no rows.
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import html_to_text, title_words
+from millrace.functions.text import dedupe_key, html_to_text, normalize_text, title_words
 from millrace.functions.values import parse_datetime
 
 REMOTE = r"(?i)\b(?:remote|anywhere|work from home)\b"
-GREENHOUSE = "jobs ARRAY<STRUCT<id: BIGINT, title: STRING, updated_at: STRING, first_published: STRING, absolute_url: STRING, location: STRUCT<name: STRING>, offices: ARRAY<STRUCT<name: STRING, location: STRING>>, metadata: ARRAY<STRUCT<name: STRING, value: STRING>>, company_name: STRING, content: STRING>>"
-LEVER = "ARRAY<STRUCT<id: STRING, text: STRING, hostedUrl: STRING, applyUrl: STRING, createdAt: BIGINT, workplaceType: STRING, categories: STRUCT<location: STRING, allLocations: ARRAY<STRING>>, descriptionPlain: STRING, description: STRING, lists: ARRAY<STRUCT<text: STRING, content: STRING>>, additionalPlain: STRING, salaryRange: STRUCT<min: DOUBLE, max: DOUBLE, currency: STRING, interval: STRING>>>"
-ADZUNA = "results ARRAY<STRUCT<id: STRING, title: STRING, created: STRING, redirect_url: STRING, company: STRUCT<display_name: STRING>, location: STRUCT<display_name: STRING, area: ARRAY<STRING>>, description: STRING, salary_min: DOUBLE, salary_max: DOUBLE, salary_is_predicted: STRING>>"
+GREENHOUSE = "ARRAY<STRUCT<id: BIGINT, title: STRING, updated_at: STRING, first_published: STRING, absolute_url: STRING, location: STRUCT<name: STRING>, offices: ARRAY<STRUCT<name: STRING, location: STRING>>, metadata: ARRAY<STRUCT<name: STRING, value: STRING>>, company_name: STRING, content: STRING>>"
+LEVER = "ARRAY<STRUCT<id: STRING, text: STRING, hostedUrl: STRING, applyUrl: STRING, createdAt: BIGINT, publishedAt: STRING, title: STRING, workplaceType: STRING, categories: STRUCT<location: STRING, allLocations: ARRAY<STRING>>, descriptionPlain: STRING, description: STRING, lists: ARRAY<STRUCT<text: STRING, content: STRING>>, additionalPlain: STRING, salaryRange: STRUCT<min: DOUBLE, max: DOUBLE, currency: STRING, interval: STRING>>>"
+ADZUNA = "ARRAY<STRUCT<id: STRING, title: STRING, created: STRING, redirect_url: STRING, company: STRUCT<display_name: STRING>, location: STRUCT<display_name: STRING, area: ARRAY<STRING>>, description: STRING, salary_min: DOUBLE, salary_max: DOUBLE, salary_is_predicted: STRING>>"
 PLACEHOLDERS = ("n/a", "na", "none", "no office", "unknown", "-")
 
 
@@ -31,6 +32,16 @@ def join_locations(values: Column, most: int = 4) -> Column:
     return F.array_join(F.slice(kept, 1, most), "; ")
 
 
+def items(payload: Column, schema: str, *wrappers: str) -> Column:
+    """The list of a payload: the payload itself, or the first of wrappers that holds a list."""
+    bare = F.when(F.trim(payload).startswith("["), F.from_json(payload, schema))
+    return F.coalesce(bare, *[F.from_json(F.get_json_object(payload, f"$.{w}"), schema) for w in wrappers])
+
+
+def _text(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
 def _money(c: Column) -> Column:
     return F.format_number(c, 0)
 
@@ -38,7 +49,7 @@ def _money(c: Column) -> Column:
 def greenhouse(payloads: DataFrame) -> DataFrame:
     """payloads: slug, payload."""
     j = F.col("j")
-    rows = payloads.select("slug", F.posexplode(F.from_json("payload", GREENHOUSE)["jobs"]).alias("pos", "j")).filter(F.trim(F.coalesce(j["title"], F.lit(""))) != "")
+    rows = payloads.select("slug", F.posexplode(items(F.col("payload"), GREENHOUSE, "jobs")).alias("pos", "j")).filter(F.trim(F.coalesce(j["title"], F.lit(""))) != "")
     text = j["content"]
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
@@ -46,9 +57,9 @@ def greenhouse(payloads: DataFrame) -> DataFrame:
     pay = F.filter(j["metadata"], lambda m: F.lower(m["name"]).rlike("salary|compensation|pay range"))
     return rows.select(
         F.lit("greenhouse").alias("source"),
-        F.coalesce(j["company_name"], title_words(F.col("slug"))).alias("company"),
+        F.coalesce(_text(j["company_name"]), title_words(F.col("slug"))).alias("company"),
         F.trim(j["title"]).alias("title"),
-        F.coalesce(j["absolute_url"], F.concat(F.lit("https://boards.greenhouse.io/"), F.col("slug"), F.lit("/jobs/"), j["id"].cast("string"))).alias("url"),
+        F.coalesce(_text(j["absolute_url"]), F.concat(F.lit("https://boards.greenhouse.io/"), F.col("slug"), F.lit("/jobs/"), j["id"].cast("string"))).alias("url"),
         place.alias("location"),
         html_to_text(text).alias("description"),
         F.coalesce(parse_datetime(j["first_published"]), parse_datetime(j["updated_at"])).alias("posted_at"),
@@ -56,12 +67,12 @@ def greenhouse(payloads: DataFrame) -> DataFrame:
         F.get(pay, F.lit(0))["value"].alias("salary"),
         j["id"].cast("string").alias("ats_job_id"),
         F.col("pos").cast("long").alias("ordinal"),
-    )
+    ).filter("url is not null")
 
 
 def lever(payloads: DataFrame) -> DataFrame:
     j = F.col("j")
-    rows = payloads.select("slug", F.posexplode(F.from_json("payload", LEVER)).alias("pos", "j")).filter(F.trim(F.coalesce(j["text"], F.lit(""))) != "")
+    rows = payloads.select("slug", F.posexplode(items(F.col("payload"), LEVER, "data", "postings", "results")).alias("pos", "j")).filter(F.coalesce(_text(j["text"]), _text(j["title"])).isNotNull())
     kind = F.lower(F.coalesce(j["workplaceType"], F.lit("")))
     places = join_locations(F.concat(F.array(j["categories"]["location"]), F.coalesce(j["categories"]["allLocations"], F.array().cast("array<string>"))))
     place = F.when((places == "") & (kind == "remote"), "Remote").otherwise(places)
@@ -71,41 +82,78 @@ def lever(payloads: DataFrame) -> DataFrame:
     return rows.select(
         F.lit("lever").alias("source"),
         title_words(F.col("slug")).alias("company"),
-        F.trim(j["text"]).alias("title"),
-        F.coalesce(j["hostedUrl"], j["applyUrl"], F.concat(F.lit("https://jobs.lever.co/"), F.col("slug"), F.lit("/"), j["id"])).alias("url"),
+        F.coalesce(_text(j["text"]), _text(j["title"])).alias("title"),
+        F.coalesce(_text(j["hostedUrl"]), _text(j["applyUrl"]), F.concat(F.lit("https://jobs.lever.co/"), F.col("slug"), F.lit("/"), j["id"])).alias("url"),
         place.alias("location"),
         body.alias("description"),
-        F.timestamp_millis(j["createdAt"]).alias("posted_at"),
+        F.coalesce(F.timestamp_millis(j["createdAt"]), parse_datetime(j["publishedAt"])).alias("posted_at"),
         F.when((kind == "remote") | F.concat_ws(" ", place, j["text"]).rlike(REMOTE), True).when(kind.isin("onsite", "on-site", "hybrid"), False).alias("remote"),
         F.when(s.isNotNull(), F.concat_ws(" ", s["currency"], F.concat_ws("-", _money(s["min"]), _money(s["max"])), s["interval"])).alias("salary"),
         j["id"].alias("ats_job_id"),
         F.col("pos").cast("long").alias("ordinal"),
-    )
+    ).filter("url is not null")
+
+
+#: A country's sign of money; names of countries, normalised, by ISO code.
+MONEY = {"gb": "£", "us": "$", "ca": "C$", "au": "A$", "nz": "NZ$", "in": "₹", "za": "R", "sg": "S$", "br": "R$", "mx": "MX$", "ch": "CHF ", "pl": "zł ", "ru": "₽"}
+ISO = {
+    "austria": "AT", "osterreich": "AT", "belgium": "BE", "belgie": "BE", "belgique": "BE", "brazil": "BR", "brasil": "BR", "canada": "CA", "switzerland": "CH",
+    "schweiz": "CH", "suisse": "CH", "czech republic": "CZ", "czechia": "CZ", "germany": "DE", "deutschland": "DE", "denmark": "DK", "danmark": "DK", "spain": "ES",
+    "espana": "ES", "finland": "FI", "suomi": "FI", "france": "FR", "united kingdom": "GB", "uk": "GB", "great britain": "GB", "greece": "GR", "hungary": "HU",
+    "ireland": "IE", "india": "IN", "italy": "IT", "italia": "IT", "luxembourg": "LU", "mexico": "MX", "netherlands": "NL", "nederland": "NL", "norway": "NO",
+    "norge": "NO", "new zealand": "NZ", "poland": "PL", "polska": "PL", "portugal": "PT", "romania": "RO", "russia": "RU", "sweden": "SE", "sverige": "SE",
+    "singapore": "SG", "united states": "US", "usa": "US", "australia": "AU", "south africa": "ZA",
+}
 
 
-def adzuna(payloads: DataFrame) -> DataFrame:
-    """payloads: country, payload. Repeated result ids keep their first row."""
+def _map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+
+
+def area_location(display: Column, area: Column, country: Column) -> Column:
+    """struct(location, country) of an aggregator's place: its name, else its areas, the narrowest first; the country's name is added where it doesn't stand there."""
+    areas = F.filter(F.transform(F.coalesce(area, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    name = F.get(areas, F.lit(0))
+    shown = F.coalesce(_text(display), F.array_join(F.reverse(areas), ", "))
+    there = F.regexp_like(F.lower(shown), F.concat(F.lit(r"(?<!\w)\Q"), F.lower(name), F.lit(r"\E(?!\w)")))
+    place = F.when(name.isNull() | there, shown).when(shown == "", name).otherwise(F.concat(shown, F.lit(", "), name))
+    return F.struct(place.alias("location"), F.coalesce(F.try_element_at(_map(ISO), normalize_text(name)), F.when(F.length(country) == 2, F.upper(country))).alias("country"))
+
+
+def adzuna(payloads: DataFrame, most: int = 50) -> DataFrame:
+    """payloads: country, payload and, where several are read, `number`, their order. The first `most` results of each count.
+
+    Of results with the same id the first stays; those without an id are told by company, title and place.
+    """
     from millrace.operators.dedupe import first_sighting
 
-    j = F.col("j")
-    rows = payloads.select("country", F.posexplode(F.from_json("payload", ADZUNA)["results"]).alias("pos", "j")).filter(F.trim(F.coalesce(j["title"], F.lit(""))) != "")
-    sign = F.when(F.col("country") == "gb", "£").when(F.col("country") == "us", "$").otherwise("€")
+    j, number = F.col("j"), F.col("number") if "number" in payloads.columns else F.lit(0)
+    found = F.slice(items(F.col("payload"), ADZUNA, "results"), 1, most)
+    rows = payloads.select("country", number.cast("long").alias("number"), F.posexplode(found).alias("pos", "j"))
+    rows = rows.filter(_text(j["title"]).isNotNull() & _text(j["redirect_url"]).isNotNull())
+    sign = F.coalesce(F.try_element_at(_map(MONEY), F.lower("country")), F.lit("€"))
     lo, hi = j["salary_min"], j["salary_max"]
-    pay = F.when(lo.isNull() & hi.isNull(), None).when(hi.isNull(), F.concat(F.lit("from "), sign, _money(lo))).when(lo.isNull(), F.concat(F.lit("up to "), sign, _money(hi))).when(lo == hi, F.concat(sign, _money(lo))).otherwise(F.concat(sign, _money(lo), F.lit("–"), sign, _money(hi)))
+    low, high = F.concat(sign, _money(lo)), F.concat(sign, _money(hi))
+    pay = F.when(lo.isNull() & hi.isNull(), None).when(hi.isNull(), F.concat(F.lit("from "), low)).when(lo.isNull(), F.concat(F.lit("up to "), high))
+    pay = pay.when(low == high, low).otherwise(F.concat(low, F.lit("–"), high))
+    place = area_location(j["location"]["display_name"], j["location"]["area"], F.col("country"))
     out = rows.select(
         F.lit("adzuna").alias("source"),
         F.coalesce(j["company"]["display_name"], F.lit("")).alias("company"),
         F.trim(j["title"]).alias("title"),
-        j["redirect_url"].alias("url"),
-        F.coalesce(j["location"]["display_name"], F.array_join(F.reverse(j["location"]["area"]), ", "), F.lit("")).alias("location"),
+        F.trim(j["redirect_url"]).alias("url"),
+        place["location"].alias("location"),
+        place["country"].alias("country"),
         F.coalesce(j["description"], F.lit("")).alias("description"),
         parse_datetime(j["created"]).alias("posted_at"),
         F.when(F.concat_ws(" ", j["location"]["display_name"], j["title"]).rlike(REMOTE), True).alias("remote"),
         F.when(j["salary_is_predicted"] == "1", F.concat(pay, F.lit(" (estimated)"))).otherwise(pay).alias("salary"),
-        j["id"].alias("ats_job_id"),
+        _text(j["id"]).alias("ats_job_id"),
+        "number",
         F.col("pos").cast("long").alias("ordinal"),
     )
-    return first_sighting(out, ["ats_job_id"], ["ordinal"])
+    ident = F.coalesce(F.concat(F.lit("id "), "ats_job_id"), dedupe_key(F.col("company"), F.col("title"), F.col("country"), F.col("location")))
+    return first_sighting(out.withColumn("ident", ident), ["ident"], ["number", "ordinal"]).drop("ident", "number")
 
 
 class _Links(HTMLParser):
@@ -155,6 +203,7 @@ def html_tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
             for k, h in zip(b[key], b[html], strict=True):
                 p = _Links()
                 p.feed(h or "")
+                p.close()
                 p.end_link()
                 out += [(k, i, *t) for i, t in enumerate(p.tokens)]
             yield pd.DataFrame(out, columns=[key, "pos", "kind", "href", "text"])

@@ -27,9 +27,27 @@ def test_lever_and_adzuna(spark):
     jobs = [{"id": "a", "text": "Dev", "workplaceType": "remote", "categories": {}, "createdAt": 1785826800000, "lists": [{"text": "Needs", "content": "<li>SQL</li>"}], "salaryRange": {"min": 1000.0, "max": 2000.0, "currency": "EUR", "interval": "month"}}]
     r = P.lever(spark.createDataFrame([("acme", json.dumps(jobs))], "slug string, payload string")).first()
     assert (r.location, r.remote, r.salary, r.description) == ("Remote", True, "EUR 1,000-2,000 month", "Needs\nSQL")
-    res = [{"id": "1", "title": "A", "salary_min": 70000.0, "salary_max": 70000.0, "salary_is_predicted": "1"}, {"id": "1", "title": "B"}, {"id": "2", "title": ""}]
+    res = [
+        {"id": "1", "title": "A", "redirect_url": "u", "salary_min": 70000.0, "salary_max": 70000.0, "salary_is_predicted": "1"},
+        {"id": "1", "title": "B", "redirect_url": "u"},
+        {"id": "2", "title": "", "redirect_url": "u"},
+        {"title": "C", "redirect_url": "u", "location": {"display_name": "Linz", "area": ["Österreich", "Linz"]}},
+        {"title": "D", "redirect_url": "u"},
+        {"title": "D", "redirect_url": "v"},
+        {"title": "E"},
+    ]
     rows = P.adzuna(spark.createDataFrame([("de", json.dumps({"results": res}))], "country string, payload string")).collect()
-    assert [(x.title, x.salary) for x in rows] == [("A", "€70,000 (estimated)")]
+    assert sorted((x.title, x.salary, x.location, x.country, x.url) for x in rows) == [("A", "€70,000 (estimated)", "", "DE", "u"), ("C", None, "Linz, Österreich", "AT", "u"), ("D", None, "", "DE", "u")]
+    two = spark.createDataFrame([(2, "gb", json.dumps([{"id": "1", "title": "Late", "redirect_url": "u"}])), (1, "gb", json.dumps({"results": [{"id": "1", "title": "First", "redirect_url": "u"}]}))], "number int, country string, payload string")
+    assert [r.title for r in P.adzuna(two).collect()] == ["First"]
+
+
+def test_wrappers_and_missing_addresses(spark):
+    lever = [json.dumps({w: [{"id": "a", "title": "Dev", "publishedAt": "2023-02-03"}]}) for w in ("data", "postings", "results")] + [json.dumps([{"text": "No id"}]), "{", "[]"]
+    rows = P.lever(spark.createDataFrame([("acme", x) for x in lever], "slug string, payload string")).collect()
+    assert [(r.title, r.url, str(r.posted_at)) for r in rows] == [("Dev", "https://jobs.lever.co/acme/a", "2023-02-03 00:00:00")] * 3
+    bare = P.greenhouse(spark.createDataFrame([("acme", json.dumps([{"id": 5, "title": "X"}, {"title": "no address"}]))], "slug string, payload string")).collect()
+    assert [r.url for r in bare] == ["https://boards.greenhouse.io/acme/jobs/5"]
 
 
 def test_html_tokens(spark):
@@ -62,7 +80,12 @@ def test_stream_equals_batch(spark, tmp_path):
     schema = "key long, ordinal long, status string, score double"
     rows = [(i % 5, i, "applied" if i in (7, 8) else "digest", float(i) if i % 3 else None) for i in range(40)]
     df = spark.createDataFrame(rows, schema)
-    for i in range(3):
-        df.filter(f"ordinal % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i in range(4):
+        if i:  # a run without new files gives the same again
+            got = run_available(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), str(tmp_path / "ck"))
+        df.filter(f"ordinal div 10 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = run_available(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), str(tmp_path / "ck"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, S.fold_status(df).collect()))
+    again = run_available(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), str(tmp_path / "ck"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    assert not run_available(spark, str(tmp_path / "in"), schema, str(tmp_path / "none"), str(tmp_path / "ck")).collect()
