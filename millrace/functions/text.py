@@ -34,15 +34,21 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 FOLD_FROM, FOLD_TO, FOLD_MORE = _folds()
+#: Marks that stand by themselves are deleted, as letters that become nothing.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+_COMMON = [x for x in FOLD_MORE if x[0].lower() in LETTERS]
+_RARE = [x for x in FOLD_MORE if x[0].lower() not in LETTERS]
 
 
 def fold(c: Column) -> Column:
     """Latin letters without accents, ligatures and signs spelt out. Text in ASCII is passed on as it is."""
-    out = F.translate(F.regexp_replace(c, r"[\u0300-\u036F]", ""), FOLD_FROM, FOLD_TO)
-    letters = F.create_map(*[F.lit(x) for pair in FOLD_MORE for x in pair])
-    spelt = F.array_join(F.transform(F.split(out, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
-    out = F.when(out.rlike("[" + "".join(a for a, _ in FOLD_MORE) + "]"), spelt).otherwise(out)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), out).otherwise(c)
+    spelt = c
+    for a, b in _COMMON:
+        spelt = F.replace(spelt, F.lit(a), F.lit(b))
+    letters = F.create_map(*[F.lit(x) for pair in _RARE for x in pair])
+    each = F.array_join(F.transform(F.split(spelt, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
+    spelt = F.when(c.rlike("[" + "".join(a for a, _ in _RARE) + "]"), each).otherwise(spelt)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(spelt, FOLD_FROM + MARKS, FOLD_TO)).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
