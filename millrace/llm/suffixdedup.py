@@ -151,16 +151,17 @@ def _windows(width: int):
 
 def stable_order(codes: np.ndarray) -> np.ndarray:
     """A stable argsort of small non-negative integers, by 16 bits at a time."""
+    if not len(codes) or int(codes.max()) < 1 << 16:
+        return np.argsort(codes.astype(np.uint16), kind="stable")
     order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
-    high = codes >> 16
-    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if len(codes) and int(high.max()) else order
+    return order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
 
 
 def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
     """The rows of one shard sorted by `depth` symbols. after: the row one symbol later, or -1 where the string ends."""
     n = len(codes)
     order = stable_order(codes)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.concatenate([[0], np.cumsum(codes[order][1:] != codes[order][:-1])])
     ends = np.flatnonzero(after < 0)
     have = 1
@@ -172,7 +173,7 @@ def shard_order(codes: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
         order = order[stable_order(rank[order])]
         r, x = rank[order], later[order]
         new = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (x[1:] != x[:-1]))])
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = new
         if new[-1] == n - 1:
             break
@@ -198,35 +199,41 @@ def merge(symbols: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.nd
     place; as a shard's rows keep their order, that is no more than the shard's number. A prefix is that of a row with the
     row before it, in symbols, up to depth.
     """
-    flat = np.concatenate(symbols)
+    flat = np.concatenate(symbols).astype(np.int32)
     sizes = np.array([len(x) for x in symbols])
     base = np.cumsum(sizes) - sizes
     # where each row goes in its own shard when the shard's rows are dealt out by their symbols
-    to = np.full(len(flat), -1)
+    to = np.full(len(flat), -1, np.int32)
     for b, x, d in zip(base.tolist(), symbols, ends, strict=True):
         inner = np.flatnonzero(x >= 0)
         to[b + inner[stable_order(x[inner])]] = b + d + np.arange(len(inner))
-    first = np.concatenate([np.arange(b, b + d) for b, d in zip(base.tolist(), ends, strict=True)])
-    rest = np.concatenate([np.arange(b + d, b + n) for b, d, n in zip(base.tolist(), ends, sizes.tolist(), strict=True)])
+    first = np.concatenate([np.arange(b, b + d, dtype=np.int32) for b, d in zip(base.tolist(), ends, strict=True)])
+    rest = np.concatenate([np.arange(b + d, b + n, dtype=np.int32) for b, d, n in zip(base.tolist(), ends, sizes.tolist(), strict=True)])
     n_ends = len(first)
     order = np.concatenate([first, rest])
     parted = np.zeros(len(flat), np.int16)
-    block = np.zeros(len(flat), np.int64)
+    block = np.zeros(len(flat), np.int32)
+    deal = flat.astype(np.uint16) if not len(flat) or int(flat.max()) < 1 << 16 else flat
+    within_text = flat >= 0
     rounds = 0
     while rounds < depth:
         rounds += 1
-        s = flat[order]
-        src = np.flatnonzero(s >= 0)
-        src = src[stable_order(s[src])]
-        s, within = s[src], block[src]
-        new = np.concatenate([first, to[order[src]]])
+        src = np.flatnonzero(within_text[order])
+        rows = order[src]
+        s = deal[rows]
+        by = np.argsort(s, kind="stable") if deal is not flat else stable_order(s)
+        src, rows, s = src[by], rows[by], s[by]
+        within = block[src]
+        new = np.concatenate([first, to[rows]])
         cut = parted == 0
         cut[n_ends + 1 :] &= (s[1:] != s[:-1]) | (within[1:] != within[:-1])
-        parted[cut] = rounds
-        if not cut.any() and np.array_equal(new, order):
+        some = bool(cut.any())
+        if some:
+            parted[cut] = rounds
+            block = np.cumsum(parted > 0, dtype=np.int32)
+        elif np.array_equal(new, order):
             break
         order = new
-        block = np.cumsum(parted > 0)
     return order, np.where(parted > 0, parted - 1, depth), rounds
 
 
@@ -301,11 +308,12 @@ _SPANS = "array<struct<`from`:int,`to`:int>>"
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs: doc_id, text. doc_id, spans: the merged byte ranges to remove, for the documents that have any."""
     spark = docs.sparkSession
-    found = docs.mapInArrow(T.tidy(_segment_rows(width)), "gram bigint, seg bigint, doc_id bigint, start int, len int")
+    # written, as the count and the join read them and texts should be hashed once
+    found = written(docs.mapInArrow(T.tidy(_segment_rows(width)), "gram bigint, seg bigint, doc_id bigint, start int, len int"), "found")
     grams = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).filter("c > 1")
     grams = written(grams.select("gram", (F.col("lo") < F.col("hi")).alias("several")), "grams")
     some = written(found.join(grams, "gram"), "occurrences")
-    release(spark, grams)
+    release(spark, found, grams)
     distinct = some.filter("several").groupBy("gram", "seg").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "len")).alias("at"))
     distinct = written(distinct.select("gram", "seg", "c", "at.*"), "segments")
 
