@@ -3,10 +3,15 @@
 A candidate is a run of key characters of 16 or more with a digit among them, a value of 8 or more assigned to a name such as
 token or password, or a private key's header. `=` is a key character as padding at a run's end only, so of NAME=value (.env,
 shell, URL parameters) the value is the candidate and the name stands before it. Of each candidate, at each of its places,
-come its length, its character transitions (changes of character class, distinct characters, longest letter run), its dictionary coverage (share of characters in common words), its path (whether the
-candidate is or stands in one, and whether the document's own path names tests or examples) and its neighbouring words
-(those before it that name credentials, or harmless values such as hashes and ids). A forest trained from labelled findings
-gives the score; a document's candidate takes the highest score of its places there, and findings of 0.5 or more are secrets.
+come its length, its character transitions (changes of character class, distinct characters, longest letter run), its
+dictionary coverage (share of its characters in words of the dictionary), its path (whether the candidate is or stands in one,
+and whether the document's own path names tests or examples) and its neighbouring words (those before it that name credentials,
+or harmless values such as hashes and ids). A forest trained from labelled findings gives the score; a document's candidate
+takes the highest score of its places there, and findings of 0.5 or more are secrets.
+
+The dictionary is counted over the corpus: words that stand in at least `common` of its documents, and a few of usual
+placeholders besides. A secret that stands in as many documents can bring its own letter runs into the dictionary; digits,
+transitions and neighbouring words still speak for it.
 
 labelled_findings() makes lines by rule, with random keys of common formats, and placeholders, commit hashes, ids, paths,
 host names, numbers and identifiers, and takes their findings with known labels as a scan does; any table of such rows can take
@@ -25,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.storage import table
+from millrace.llm.storage import table, written
 
 _KEY, _LINKED = r"[A-Za-z0-9+/_.-]", r"[A-Za-z0-9+/_=.-]"
 _NAMES = r"secret|token|password|passwd|pwd|api_key|apikey|access_key|auth"
@@ -35,17 +40,40 @@ CANDIDATE = (
     rf"|(?i:(?<=[:= \t\"'])(?<=[:=][ \t]{{0,2}}[\"']?)(?<=(?:{_NAMES})[\"']?[ \t]{{0,2}}[:=][ \t]{{0,2}}[\"']?)(?:[^\s\"'&]|&(?![A-Za-z0-9_.-]+=)){{8,}}+)"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 )
-_WORDS = (
-    "example|sample|test|dummy|your|here|key|secret|password|token|change|replace|insert|value|user|name|admin|default|none|null|true|false|foo|bar|http|www|com|org|net|mail|host|file|path|home|data|config|"
-    "index|page|version|release|function|class|method|object|string|number|model|train|layer|build|local|server|client|public|private|access|image|style|script|content|static|assets|this|that|with|from"
+#: Words of placeholders, paths and identifiers that the dictionary holds whatever the corpus.
+WORDS = (
+    "example", "sample", "test", "dummy", "your", "here", "key", "secret", "password", "token", "change", "changeme", "replace", "this", "insert", "value", "user", "name", "admin",
+    "default", "none", "null", "true", "false", "foo", "bar", "http", "https", "www", "com", "org", "net", "mail", "host", "file", "path", "home", "data", "config", "index", "page", "usr", "lib",
+    "version", "release", "function", "class", "method", "object", "string", "number", "model", "build", "local", "server", "client", "public", "private", "access", "image", "style",
+    "script", "content", "static", "assets", "json", "shop", "news", "blog", "get", "with", "from", "that",
 )
+#: A word of a candidate: a capital or not and small letters, or capitals alone.
+_RUN = r"[A-Za-z][a-z]{2,}|[A-Z]{3,}"
 _CREDENTIAL = r"(?i)secret|token|passw|pwd|api.?key|access.?key|auth|bearer|credential|private"
 _HARMLESS = r"(?i)example|sample|dummy|commit|sha-?\d|md5|checksum|digest|hash|uuid|guid|revision|version|build|session|order|invoice|phone|card|mail|url|href|path|file"
 FEATURES = ["n", "turns", "distinct", "letters", "words", "hex", "digits", "upper", "paths", "example_path", "credential", "harmless", "glued", "prefixed"]
 
 
-def features(findings: DataFrame) -> DataFrame:
-    """findings (candidate, before, path) with the columns FEATURES."""
+def dictionary(docs: DataFrame, common: int = 20) -> DataFrame:
+    """word: the lower-case words of three letters or more in at least `common` of the documents (text), and WORDS."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")).filter(F.length("word") > 2)
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= common).select("word")
+    return counted.union(base_words(docs.sparkSession)).distinct()
+
+
+def base_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in WORDS], "word string")
+
+
+def coverage(findings: DataFrame, words: DataFrame) -> DataFrame:
+    """candidate, words: the share of the characters of each candidate that stand in words of the dictionary, where there are any."""
+    runs = findings.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all("candidate", F.lit(f"({_RUN})"), 1)).alias("run"))
+    known = runs.withColumn("word", F.lower("run")).join(words, "word")
+    return known.groupBy("candidate").agg((F.sum(F.length("run")) / F.first(F.length("candidate"))).alias("words"))
+
+
+def features(findings: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """findings (candidate, before, path) with the columns FEATURES. words: the dictionary, WORDS alone where there is none."""
     c, n = F.col("candidate"), F.length("candidate")
 
     def share(pattern: str) -> F.Column:
@@ -53,12 +81,13 @@ def features(findings: DataFrame) -> DataFrame:
 
     cuts = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     runs = F.regexp_extract_all(c, F.lit("([A-Za-z]+)"), 1)
+    covered = findings.join(coverage(findings, base_words(findings.sparkSession) if words is None else words), "candidate", "left")
     return (
-        findings.withColumn("n", F.least(F.lit(200), n).cast("double"))
+        covered.withColumn("words", F.coalesce("words", F.lit(0.0)))
+        .withColumn("n", n.cast("double"))
         .withColumn("turns", (F.size(F.split(c, cuts)) - 1) / n)
-        .withColumn("distinct", F.size(F.array_distinct(F.split(c, ""))) / F.least(F.lit(40), n))
+        .withColumn("distinct", F.size(F.array_distinct(F.split(c, ""))) / F.sqrt(n.cast("double")))
         .withColumn("letters", F.coalesce(F.array_max(F.transform(runs, lambda r: F.length(r))), F.lit(0)) / n)
-        .withColumn("words", share(f"(?i)(?:{_WORDS})"))
         .withColumn("hex", F.greatest(share("[0-9a-f]"), share("[0-9A-F]")))
         .withColumn("digits", share("[0-9]"))
         .withColumn("upper", share("[A-Z]"))
@@ -123,17 +152,21 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
     return occurrences(lines).withColumn("label", F.when(F.col("candidate") == F.col("planted"), F.col("label")).otherwise(F.lit(0.0))).drop("lead", "planted")
 
 
-def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
-    """The forest of labelled findings (candidate, before, path, label)."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings))
+def train(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 7, words: DataFrame | None = None) -> RandomForestClassificationModel:
+    """The forest of labelled findings (candidate, before, path, label). words: the dictionary, which scan() is to be given as well."""
+    made = features(findings, words)
+    # the forest draws rows by their order: the same findings give the same forest
+    order = [c for c in ("id", "candidate", "before", "path", "label") if c in made.columns]
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(made.orderBy(*order).coalesce(1))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows.select("features", "label"))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, doc: str = "doc_id", context: int = 48) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, doc: str = "doc_id", context: int = 48, words: DataFrame | None = None) -> DataFrame:
     """doc_id, candidate, start, score, secret of every finding: a candidate of a document at its place of the highest score, the first of these."""
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    found = occurrences(docs.select(F.col(doc).alias("doc_id"), "text", path.alias("path")), context)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found))
+    # written, as the dictionary's share and the features read it and texts should be searched once
+    found = written(occurrences(docs.select(F.col(doc).alias("doc_id"), "text", path.alias("path")), context), "findings")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(features(found, words))
     scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
     best = scored.groupBy("doc_id", "candidate").agg(F.max(F.struct("score", (-F.col("start")).alias("place"))).alias("best"))
     return best.select("doc_id", "candidate", (-F.col("best.place")).alias("start"), "best.score", (F.col("best.score") >= threshold).alias("secret"))
@@ -142,10 +175,15 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_candidates, n_secrets, secrets_sha256 (of the distinct secrets in order, comma-joined) for every document."""
     docs = table(spark, sf_dir, "documents")
-    found = scan(docs, train(labelled_findings(spark)))
+    words = written(dictionary(docs), "dictionary")
+    found = scan(docs, train(labelled_findings(spark), words=words), words=words)
     per = found.groupBy("doc_id").agg(
         F.count_distinct("candidate").alias("n_candidates"), F.sort_array(F.collect_set(F.when(F.col("secret"), F.col("candidate")))).alias("s")
     )
+    none = F.coalesce(F.array_join("s", ","), F.lit(""))
     return docs.select("doc_id").join(per, "doc_id", "left").select(
-        "doc_id", F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"), F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_secrets"), F.sha2(F.coalesce(F.array_join("s", ","), F.lit("")), 256).alias("secrets_sha256")
+        "doc_id",
+        F.coalesce("n_candidates", F.lit(0)).cast("long").alias("n_candidates"),
+        F.coalesce(F.size("s"), F.lit(0)).cast("long").alias("n_secrets"),
+        F.sha2(none, 256).alias("secrets_sha256"),
     )

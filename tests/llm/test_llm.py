@@ -324,6 +324,15 @@ def test_secrets_in_assignments(spark):
     assert not labelled.filter("candidate rlike '=[^=]'").count() and labelled.filter("label = 1 and before = 'AWS_SECRET_ACCESS_KEY='").count()
 
 
+def test_dictionary_of_the_corpus(spark):
+    docs = frame(spark, ["Grumeau de sel"] * 3 + ["grumeau x1 grumeau", "sel ab", *ODD])
+    words = secrets.dictionary(docs, 4)
+    assert {r.word for r in words.collect()} - set(secrets.WORDS) == {"grumeau", "sel"}
+    found = spark.createDataFrame([("GrumeauKey1234567",), ("a8f7b6c5d4e3f2a1",)], "candidate string")
+    got = {r.candidate: r.words for r in secrets.coverage(found, words).collect()}
+    assert got == {"GrumeauKey1234567": 10 / 17}
+
+
 def test_secrets_at_every_place(spark):
     key, plain = hashlib.sha1(b"y").hexdigest(), hashlib.sha1(b"z").hexdigest()
     texts = [f"commit {key} was\nlater: token = \"{key}\"", f"x/{key}/y {key}. and\napi_key: {key}", f"commit {plain} and\nrevision {plain}", f'token = "{key}"\n' + f"commit {plain}\n" * 300 + f'password = "{plain}"', f"é‍👩 token: {key}"]
