@@ -103,3 +103,17 @@ def following(tokens: DataFrame, group: str, order: str, token: str, n: int = 6)
 
     w = Window.partitionBy(group).orderBy(order)
     return tokens.withColumn("next", F.lead(token).over(w)).withColumn("ahead", F.array_join(F.collect_list(token).over(w.rowsBetween(1, n)), " "))
+
+
+def probed(entries: DataFrame, payloads: DataFrame, rows: DataFrame) -> DataFrame:
+    """board, slug, ok, n, error of each board asked: a board without postings is fine, one that gave an error isn't."""
+    n = rows.groupBy("slug").agg(F.count("*").alias("n"))
+    asked = payloads.groupBy("board", "slug").agg(F.max("error").alias("error"))
+    out = entries.select("board", "slug").join(asked, ["board", "slug"], "left").join(n, "slug", "left")
+    return out.select("board", "slug", F.col("error").isNull().alias("ok"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "error")
+
+
+def any_of(df: DataFrame, group: str, flag: str) -> DataFrame:
+    """group, some, every: whether any and whether all of a group's flags hold; a null flag doesn't."""
+    f = F.coalesce(F.col(flag), F.lit(False))
+    return df.groupBy(group).agg(F.bool_or(f).alias("some"), F.bool_and(f).alias("every"))

@@ -216,3 +216,50 @@ def company_override_documents(spark, sf_dir):
     entries = watchlist(spark, "lever", [{"slug": "https://jobs.lever.co/src0/", "company": "Zero & Co"}, "src1", {"board": "src2", "display_name": " Two Ltd "}, {"slug": "SRC2", "company": "no"}])
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("slug"), F.concat(F.lit("Src "), F.substring("source", 4, 99)).alias("company"))
     return with_company(docs, entries).select("doc_id", "company")
+
+
+@query("select user_id, bool_or(event_type = 'purchase') as some, bool_and(event_type = 'purchase') as every from events group by 1")
+def any_of_events(spark, sf_dir):
+    return U.any_of(table(spark, sf_dir, "events").withColumn("f", F.when(F.col("event_type") == "purchase", True)), "user_id", "f")
+
+
+@query("select event_type, count(*) n, row_number() over (order by count(*) desc, event_type) place from events group by 1")
+def counts_in_order_events(spark, sf_dir):
+    from pyspark.sql import Window
+
+    counts = R.by_count(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type")
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long"))  # one row a type
+
+
+@query("""select page_id as message, cast(page_id + 1000000 as varchar) posting, 'Dev ' || page_id title, 'Firm' || page_id || ' Ltd' company, case when page_id % 2 = 0 then 'Remote' else 'Graz' end as location,
+ 'https://www.linkedin.com/jobs/view/' || (page_id + 1000000) url, case when page_id % 2 = 0 then true end remote from pages""")
+def mail_rows_pages(spark, sf_dir):
+    """A mail for each page: a card whose company stands at its second place only, noise between, another card's link after."""
+    from millrace.sources.mail import mail_rows
+
+    n = F.col("page_id").cast("string")
+    link = F.concat(F.lit("<a href='https://www.linkedin.com/comm/jobs/view/"), F.col("page_id") + 1000000, F.lit("/?t=1'>"))
+    place = F.when(F.col("page_id") % 2 == 0, "Remote").otherwise("Graz")
+    card = F.concat(link, F.lit("</a>"), link, F.lit("Dev "), n, F.lit("</a>"))
+    html = F.concat(F.lit("<p>Your job alert</p>"), card, F.lit("<p>Promoted</p><p>3 days ago</p>"), card, F.lit("<td>Firm"), n, F.lit(" Ltd · "), place, F.lit("</td><a href='/x'>See all jobs</a>"))
+    mails = table(spark, sf_dir, "pages").select(F.col("page_id").alias("message"), html.alias("html"), F.lit(None).cast("timestamp").alias("received_at"))
+    return mail_rows(mails).select("message", "posting", "title", "company", "location", "url", "remote")
+
+
+@query("""select doc_id, cast(case when doc_id % 4 < 2 then n_chars % 101 end as int) score, case when doc_id % 4 = 0 then lang when doc_id % 4 = 1 then lang || '|b' else '' end reasons,
+ case doc_id % 4 when 2 then 'no JSON in the reply' when 3 then 'HTTP 400 bad' end error from documents""")
+def scored_offline_documents(spark, sf_dir):
+    """Replies of a scorer without a network: fenced, plain, broken, failing."""
+    from millrace.operators import scoring as S
+
+    def complete(text: str) -> str:
+        number, score, lang = text.split("|")
+        kind = int(number) % 4
+        if kind == 3:
+            raise ValueError("HTTP 400 bad")
+        plain = '{"score": "%s/100", "reasons": "%s"}' % (score, lang)
+        listed = 'Sure: {"score": %s, "reasons": ["%s", 1, "b"]} done' % (score, lang)
+        return ["```json\n" + plain + "\n```", listed, "I cannot"][kind]
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("|", "doc_id", F.col("n_chars") % 101, "lang").alias("ask"))
+    return S.scored(S.completed(docs, "doc_id", "ask", complete)).select("doc_id", "score", F.array_join("reasons", "|").alias("reasons"), "error")

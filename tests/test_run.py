@@ -117,3 +117,45 @@ def test_nulls_in_values(spark):
     assert [r[0] for r in df.select(V.string_list(F.col("c"))).collect()] == [[], [], [], []]
     assert [r[0].error for r in df.select(V.reply_text(F.col("c"))).collect()] == ["no JSON", "no JSON", "no choices", "no choices"]
     assert [r[0] for r in df.select(V.detect_ats(F.col("c"))).collect()] == [None] * 4
+
+
+def test_mail(spark):
+    from millrace.sources import mail as M
+
+    card = "<a href='https://www.linkedin.com/jobs/view/{0}?x=1'>{1}</a>"
+    html = card.format(1234567, "Cook") + "<p>Inn at Sea</p><p>12 applicants</p><p>" + "x" * 90 + "</p><p>a@b.org</p><p>Varna, remote</p>" + card.format("baker-at-x-7654321", "Baker") + card.format(99, "")
+    rows = {r.posting: r for r in M.mail_rows(spark.createDataFrame([(1, html, dt.datetime(2024, 1, 1)), (2, None, None)], "message long, html string, received_at timestamp")).collect()}
+    assert (rows["1234567"].company, rows["1234567"].location, rows["1234567"].remote) == ("Inn at Sea", "Varna, remote", True)
+    assert (rows["7654321"].company, rows["7654321"].url) == ("", "https://www.linkedin.com/jobs/view/7654321") and len(rows) == 2
+    df = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("c", "bad")], "posting string, url string")
+
+    def fetch(url):
+        return {"u1": "one", "u2": None}[url]
+
+    assert {r.posting: r.description for r in M.with_pages(df, fetch).collect()} == {"a": "one", "b": "", "c": ""}
+    assert {r.posting: r.description for r in M.with_pages(df, fetch, most=0).collect()} == {"a": "", "b": "", "c": ""}
+
+
+def test_scoring(spark):
+    from millrace.operators import scoring as S
+
+    df = spark.createDataFrame([("x" * 9, None, " ")], "d string, c string, l string")
+    text = df.select(S.prompt("A cook.", F.lit("Chef"), F.col("c"), F.col("l"), F.col("d"), 5)).first()[0]
+    assert "Title: Chef\nCompany: unknown\nPlace: unknown\nDescription:\nxxxxx\n" in text and "A cook." in text
+    calls = []
+
+    def flaky(_):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("HTTP 503")
+        return '{"score": 7}'
+
+    got = S.scored(S.completed(spark.createDataFrame([(1, "q")], "k int, q string").coalesce(1), "k", "q", flaky, wait=0)).first()
+    assert (got.score, got.error, got.reasons) == (7, None, [])
+
+
+def test_probe(spark):
+    entries = B.watchlist(spark, "lever", ["acme", "gone", "still"])
+    got = B.read_board(spark, entries, "lever", transport="tests.transport:boards", backoff="0")
+    rows = P.lever(got.filter("error is null and slug <> 'still'")).withColumn("slug", F.element_at(F.split("title", " "), -1))
+    assert {tuple(r) for r in U.probed(entries, got, rows).collect()} == {("lever", "acme", True, 1, None), ("lever", "gone", False, 0, "HTTP 404"), ("lever", "still", True, 0, None)}
