@@ -1,6 +1,8 @@
 """Corpus pipeline: language ID, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
 
-Each stage works on all that the one before it kept; run() applies them to the documents of sf_dir.
+Each stage works on all that the one before it kept; run() applies them to the documents of sf_dir. What a stage decides on nulls,
+empty texts, repeated rows, empty tables and further columns stands in its own text; all but the last hand on the columns of
+documents as they came.
 """
 
 from __future__ import annotations

@@ -217,5 +217,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the digests of ids and decoded bytes of every document."""
+    """Last pipeline stage: doc_id, n_tokens and the digests of ids and decoded bytes of every document.
+
+    docs needs doc_id and text; other columns are ignored, whatever their names. A null text counts as an empty one, without ids;
+    rows with a null or repeated doc_id have a row each; an empty table gives an empty one.
+    """
     return _public(docs)

@@ -8,7 +8,7 @@ Containment of a window in a document needs all its shingles, so a necessary pre
 documents. Documents are joined on that shingle; the window must fit between the document's ends (position and length
 bounds), and the words around the shingle must equal the window's words, compared as text.
 
-Documents look shingles up in a bitmap of fixed size (2**bits bits) before anything is emitted. A false positive there only
+Documents look shingles up in a bitmap of bounded size (2**bits bits) before anything is emitted. A false positive there only
 makes a row that the join drops, so the bitmap is bounded without being a limit on the benchmark's size. A document with
 the same passage many times, or a passage in a third of all documents, makes rows in proportion to its occurrences only.
 
@@ -64,7 +64,7 @@ def _windows(size: int, shingle: int):
 
 
 def _bits(spark: SparkSession, hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the hashes; 2**bits bits whatever their number. One row a set word of 64 bits reaches the driver."""
+    """A bitmap of the hashes, of 2**bits bits. One row a set word of 64 bits reaches the driver."""
     slot = F.col("h").bitwiseAND((1 << bits) - 1)
     rows = hashes.select((F.shiftright(slot, 6)).alias("w"), F.expr(f"shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -123,11 +123,14 @@ def _candidates(lengths, bitmap, size):
     return run
 
 
-def find_items(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, bits: int = 23, doc: str = "doc_id", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_words; occurrences: doc_id, start, len, item_id) of item windows in documents."""
+def find_items(docs: DataFrame, items: DataFrame, size: int = 10, shingle: int = 3, bits: int | None = None, doc: str = "doc_id", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, n_words; occurrences: doc_id, start, len, item_id) of item windows in documents. bits: of the bitmap, by the number of shingles if not given."""
     spark = docs.sparkSession
     bounded_batches(spark)
     windows = written(items.select(F.col(item).cast("string").alias("item_id"), "text").mapInArrow(T.tidy(_windows(size, shingle)), "item_id string, win string, h bigint, off int"), "windows")
+    # about 16 bits a shingle, so that few others pass; 2**26 bits, 8 MB, at most: beyond, more rows pass and the result is the same
+    known = windows.select("h").distinct().count()
+    bits = bits or min(26, max(20, (16 * known).bit_length()))
     lengths = [r[0] for r in windows.select(F.least(F.lit(shingle), F.size(F.split("win", " "))).alias("k")).distinct().collect()]  # at most `shingle` values
     counts = docs.select("text").mapInArrow(T.tidy(_counts(lengths, _bits(spark, windows.select("h").distinct(), bits))), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     rarest = windows.join(counts, "h", "left").groupBy("item_id", "win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("r"))
@@ -168,7 +171,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with a benchmark passage go."""
+    """Pipeline stage: documents with a benchmark passage go.
+
+    docs needs doc_id and text, the table benchmark item_id and text; all columns of docs pass through, whatever their names. Null
+    and empty texts stay; rows with a null or repeated doc_id are decided row by row; with an empty benchmark all rows stay; an
+    empty table gives an empty one.
+    """
     items = table(spark, sf_dir, "benchmark")
     return per_row(docs, lambda d: without_ids(d, decontaminate(d, items).filter("contaminated"), "doc_id"))
 

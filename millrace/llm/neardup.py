@@ -224,7 +224,12 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays."""
+    """Pipeline stage: of each component the document with the least id stays.
+
+    docs needs doc_id and text; all columns pass through, whatever their names. Null, empty and blank texts are linked with nothing and
+    stay; rows with a null or repeated doc_id are decided row by row, those without an id after the others; an empty table gives
+    an empty one.
+    """
     return per_row(docs, lambda d: without_ids(d, near_duplicates(d).filter("not kept"), "doc_id"))
 
 
