@@ -11,7 +11,8 @@ position on the overlap that is still possible, and confirmed on full sets.
 
 Equal lines are one class from the start. As a line needs one earlier match only, classes that share a token are first
 compared with that token's earliest document's lines (linear in the group); only classes that found no match are joined
-with all of the group. So a line that a third of all documents hold, as it is or with small changes, makes no pairs of
+with all of the group. Groups of at most ALL_PAIRS rows are joined at once, and lines of more than COPIES copies are cut
+into tokens at their first place only. So a line that a third of all documents hold, as it is or with small changes, makes no pairs of
 all with all.
 
 Defined cases: null text has no lines and stays null; empty text is one line without words; ties in order can't arise unless
@@ -21,14 +22,22 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.storage import of_ids, per_row, release, table, written
 
 RANKS = 1 << 16
+#: Up to so many rows of a token, all its lines are joined at once; beyond, first with its earliest document's.
+ALL_PAIRS = 64
+#: A line with more copies than this is joined by its first place only.
+COPIES = 1000
+#: Bound of a dictionary of word hashes, a file's.
+DICTIONARY_BYTES = 8 << 20
 #: Blanks within a line other than the space.
 _BLANKS = "\t\x0b\x0c\r"
 
@@ -52,25 +61,31 @@ def _worded(lines: DataFrame) -> DataFrame:
     return _with_words(lines).withColumn("w", F.transform(F.array_remove(F.split(spaced, " "), ""), lambda word: F.xxhash64(word)))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, no, h1, h2, w of every line with words, written: texts are read, split and hashed this once."""
+    # words repeat, so a dictionary that holds all of a file's keeps the table well below the size of the texts
+    return written(_worded(_lines(docs)).select("doc_id", "no", "h1", "h2", "w"), "rows", **{"parquet.dictionary.page.size": DICTIONARY_BYTES})
+
+
 def _token(i: Column, k: int) -> Column:
     """The hash of the run of k word hashes from i on; nulls beyond the end change no hash, so a line of fewer words has one token."""
     return F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(k)])
 
 
-def _hashed(lines: DataFrame, k: int) -> DataFrame:
-    """lines with words and the column t: the hashes of the line's tokens."""
+def _hashed(rows: DataFrame, k: int) -> DataFrame:
+    """rows with t, the hashes of the line's tokens, for w."""
     # a struct of k words has the hash of the k words; runs are zipped in generated code, so the function has one step a token
     n = F.size("w") - (k - 1)
     runs = F.arrays_zip(*[F.slice("w", j + 1, F.greatest(n, F.lit(0))) for j in range(k)])
     tokens = F.when(n < 2, F.array(_token(F.lit(0), k))).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
-    return _worded(lines).withColumn("t", tokens).drop("w")
+    return rows.withColumn("t", tokens).drop("w")
 
 
-def _ranks(lines: DataFrame, k: int) -> DataFrame:
+def _ranks(rows: DataFrame, k: int) -> DataFrame:
     """One row with `rank`: the rank of each bucket of tokens, rarest first, RANKS numbers, in the upper 16 bits but one."""
     # words are exploded, not an array of tokens: so the tokens are made in generated code. Outer: a filter that Spark
-    # infers for a plain explode would be pushed down and split the line anew
-    at = _worded(lines.select("line")).select("w", F.posexplode_outer("w").alias("i", "word"))
+    # infers for a plain explode would be evaluated for every line
+    at = rows.select("w", F.posexplode_outer("w").alias("i", "word"))
     tokens = at.filter((F.col("i") == 0) | (F.col("i") <= F.size("w") - k)).select(_token(F.col("i"), k).alias("t"))
     counts = tokens.groupBy(F.col("t").bitwiseAND(RANKS - 1).alias("b")).count().collect()  # at most RANKS rows
     n = np.zeros(RANKS, np.int64)
@@ -78,8 +93,8 @@ def _ranks(lines: DataFrame, k: int) -> DataFrame:
         n[b] = c
     rank = np.empty(RANKS, np.int64)
     rank[np.argsort(n, kind="stable")] = np.arange(RANKS) << 47
-    rows = lines.sparkSession.createDataFrame(pa.table({"rank": pa.array([rank], pa.list_(pa.int64()))}))
-    return written(rows, "ranks")
+    out = rows.sparkSession.createDataFrame(pa.table({"rank": pa.array([rank], pa.list_(pa.int64()))}))
+    return written(out, "ranks")
 
 
 def _ordered(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -91,25 +106,29 @@ def _ordered(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
     return with_ranks.select("doc_id", "h1", F.sort_array(F.array_distinct(token)).alias("t"))
 
 
-def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """docs: doc_id, text. (doc_id, no) of the lines to remove."""
-    spark = docs.sparkSession
-    lines = _lines(docs)
-    hashed = _hashed(lines, k)
-    ranks = _ranks(lines, k)
-    sets = _ordered(hashed, ranks)
+def _entries(rows: DataFrame, ranks: DataFrame, percent: int, k: int) -> DataFrame:
+    """token, h1, np (set size and position), doc (first document), least (the token's first document), size of the prefix tokens that several classes hold, written."""
     n = F.size("t")
-    prefixes = sets.select("doc_id", "h1", n.alias("n"), F.posexplode_outer(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
-    prefixes = written(prefixes.select("token", "h1", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("pos")).alias("np"), F.col("doc_id").alias("doc")), "prefixes")
-    # most tokens are one line's: only those of several stay
-    shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("doc").alias("least")).filter("lo < hi")
-    shared = written(shared.select("token", "least"), "shared")
-    release(spark, ranks)
-    entries = prefixes.join(shared, "token")
-    entries = written(entries.groupBy("token", "h1", "np", "least").agg(F.min("doc").alias("doc")), "entries")
-    release(spark, prefixes, shared)
-    place = written(_with_words(lines).groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
+    prefixes = _ordered(_hashed(rows, k), ranks).select("doc_id", "h1", n.alias("n"), F.posexplode_outer(F.slice("t", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)).alias("pos", "token"))
+    prefixes = prefixes.select("token", "h1", F.shiftleft(F.col("n").cast("long"), 31).bitwiseOR(F.col("pos")).alias("np"), F.col("doc_id").alias("doc"))
+    # most tokens are one class's: only those of several stay. One shuffle by token serves this, the least and the size
+    of = Window.partitionBy("token")
+    told = prefixes.withColumns({"lo": F.min("h1").over(of), "hi": F.max("h1").over(of), "least": F.min("doc").over(of), "size": F.count("*").over(of)})
+    return written(told.filter("lo < hi").groupBy("token", "h1", "np", "least", "size").agg(F.min("doc").alias("doc")), "entries")
+
+
+def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5, all_pairs: int = ALL_PAIRS, copies: int = COPIES) -> DataFrame:
+    """docs: doc_id, text. (doc_id, no) of the lines to remove, written."""
+    spark = docs.sparkSession
+    rows = _rows(docs)
+    place = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
     release(spark)
+    # of a line with very many copies the first stands for all, so that no token has a row for each of them
+    many = place.filter(F.col("c") > copies).select("h1", "h2", "at")  # at most a row for `copies` lines
+    firsts = rows.join(F.broadcast(many), ["h1", "h2"], "left").filter("at is null or at = struct(doc_id, no)").select(rows.columns)
+    ranks = _ranks(firsts, k)
+    entries = _entries(firsts, ranks, percent, k)
+    release(spark, ranks)
 
     def side(df: DataFrame, s: str) -> DataFrame:
         return df.select("token", F.col("h1").alias(f"h{s}"), F.shiftright("np", 31).alias(f"n{s}"), F.col("np").bitwiseAND((1 << 31) - 1).alias(f"p{s}"), F.col("doc").alias(f"d{s}"))
@@ -127,7 +146,7 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
         found = written(found, "candidates")
         release(spark)
         ids = found.select(F.col("a").alias("h1")).union(found.select("b")).distinct()
-        some = of_ids(lines.select("h1", "h2", "line"), ids, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+        some = of_ids(rows.select("h1", "h2", "w"), ids, "h1").groupBy("h1", "h2").agg(F.first("w").alias("w"))
         some = written(_hashed(some, k).join(place, ["h1", "h2"]).select("h1", "h2", "at", F.array_distinct("t").alias("t")), "sets")
         release(spark)
 
@@ -142,13 +161,18 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
         release(spark, found, some)
         return out
 
-    known = later(pairs(entries.filter("doc = least"), entries))
-    # an open line's match has its first place in a document not after its own
-    rest = later(pairs(entries, entries.filter("doc > least").join(known.select("h1").distinct(), "h1", "left_anti")))
-    matched = known.union(rest).distinct().withColumn("m", F.lit(True))
-    gone = written(place.join(matched, ["h1", "h2"], "left").filter("c > 1 or m").select("h1", "h2", "at", F.coalesce("m", F.lit(False)).alias("m")), "repeated")
-    release(spark, entries, place, known, rest)
-    return lines.select("doc_id", "no", "h1", "h2").join(gone, ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no")
+    small = F.col("size") <= all_pairs
+    matched = [later(pairs(entries.filter(small | (F.col("doc") == F.col("least"))), entries))]
+    large = entries.filter(~small)
+    if not large.isEmpty():
+        # an open line's match has its first place in a document not after its own
+        matched += [later(pairs(large, large.filter("doc > least").join(matched[0].select("h1").distinct(), "h1", "left_anti")))]
+    known = reduce(DataFrame.union, matched).distinct().withColumn("m", F.lit(True))
+    gone = written(place.join(known, ["h1", "h2"], "left").filter("c > 1 or m").select("h1", "h2", "at", F.coalesce("m", F.lit(False)).alias("m")), "repeated")
+    release(spark, entries, place, *matched)
+    out = written(rows.select("doc_id", "no", "h1", "h2").join(gone, ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no"), "removed")
+    release(spark, rows, gone)
+    return out
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
@@ -162,7 +186,7 @@ def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, percent: int = 75, k: int = 5, doc: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed, kept for every document."""
     texts = docs.select(F.col(doc).alias("doc_id"), "text")
-    return without_lines(texts, written(removed_lines(texts, percent, k), "removed")).select("doc_id", "n_lines", "n_removed", "kept")
+    return without_lines(texts, removed_lines(texts, percent, k)).select("doc_id", "n_lines", "n_removed", "kept")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +205,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def stage(d: DataFrame) -> DataFrame:
         texts = d.select("doc_id", "text")
-        gone = written(removed_lines(texts), "removed").groupBy("doc_id").agg(F.collect_set("no").alias("no"))
+        gone = removed_lines(texts).groupBy("doc_id").agg(F.collect_set("no").alias("no"))
         # the other columns travel in one struct, so that none of their names can clash
         both = d.select("doc_id", F.struct(*d.columns).alias("row")).join(gone, "doc_id", "left")
         lines = F.split("row.text", "\n")

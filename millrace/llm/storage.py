@@ -51,12 +51,12 @@ def _dropped_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later stages and retries start there."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as Parquet, with the writer's options, to the shared folder and read it back: later stages and retries start there."""
     path = f"{shared_folder(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
     bounded_batches(df.sparkSession)
     with _dropped_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -104,6 +104,29 @@ def test_line_dedup(spark):
     assert all(out[i].kept == (None if t is None else "\n".join(kept[i])) for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("all_pairs, copies", [(64, 1000), (1, 2)])
+def test_lines_are_split_once(spark, monkeypatch, all_pairs, copies):
+    """Texts are cut into words in one pass; small bounds take the ways of large groups and of lines of many copies to the same result."""
+    base = prose(5, 60)
+    texts = [base + f" tail{i}" for i in range(6)] + ["Common line here\n" + prose(80 + i, 30) for i in range(6)] + [t for t in near(8) if t]
+    plans, write = [], linededup.written
+
+    def noted(df, name, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    got = {(r.doc_id, r.no) for r in linededup.removed_lines(frame(spark, texts), all_pairs=all_pairs, copies=copies).collect()}
+    assert sum("split(" in p for p in plans) == 1
+    seen, gone = [], set()
+    for i, t in enumerate(texts):
+        for n, line in enumerate(t.split("\n")):
+            if x := shingle_set(line):
+                gone |= {(i, n)} if any(100 * len(x & y) >= 75 * len(x | y) for y in seen) else set()
+                seen.append(x)
+    assert gone and got == gone
+
+
 def test_language(spark):
     letters = {"aa": "abcde", "bb": "vwxyz", "cc": "lmnop"}
     r = random.Random(1)
