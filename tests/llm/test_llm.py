@@ -154,6 +154,28 @@ def test_byte_bpe_matches_library(spark):
         assert x.ids_sha256 == hashlib.sha256(",".join(map(str, x.ids)).encode()).hexdigest()
 
 
+def test_byte_bpe_contracts_free_pairs_at_once(monkeypatch):
+    """Random words take few steps, with the library's ids; what is remembered of a piece is one string."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = bytebpe.Codec(path, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=own.tokens, special_tokens={})
+    r = random.Random(6)
+    words = [w for w in {"".join(r.choice("etaoinshrdlucé一") for _ in range(r.randint(2, 30))) for _ in range(3000)} if w.encode() not in own.tokens]
+    raw = [w.encode() for w in words] + [b"a" * 3001, b"abab" * 300]
+    steps, run = [], own.db.execute
+    monkeypatch.setattr(bytebpe, "LEG_ROWS", 0)  # so a leg has four steps
+    own.db = type("Noted", (), {"execute": lambda self, q: (steps.append(4), run(q)), "__getattr__": lambda self, name, db=own.db: getattr(db, name)})()
+    own._recursion(raw[:-2])
+    assert sum(steps) <= 16
+    ids, sizes = own._recursion(raw)
+    assert ids.tolist() == [i for w in raw for i in enc.encode_ordinary(w.decode())] and sizes.sum() == len(ids)
+    assert own.decode(ids, sizes) == raw
+    own.texts([" ".join(words)])
+    assert all(type(x) is str for x in own.known.values()) and not own.odd
+
+
 def test_token_counts_match_library(spark):
     from tokenizers import Tokenizer
 
