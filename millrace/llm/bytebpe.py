@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import textops as T
-from millrace.llm.storage import bounded_batches, table
+from millrace.llm.storage import bounded_batches, give_back, table
 
 #: Symbols in one recursion; rows kept by one leg of it (symbols times steps); pieces a task remembers.
 SYMBOLS, LEG_ROWS, KEPT = 100_000, 1_000_000, 400_000
@@ -258,4 +258,5 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs needs doc_id and text; other columns are ignored, whatever their names. A null text counts as an empty one, without ids;
     rows with a null or repeated doc_id have a row each; an empty table gives an empty one.
     """
+    give_back(spark)  # the stages before fill the executors' heaps, and each worker process needs some 350 MB here
     return _public(docs)

@@ -71,6 +71,15 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and so return heap that earlier stages filled, before workers beside them need memory.
+
+    A task a core, all started together, so that each executor has some; one that gets none only keeps its heap.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def of_ids(df: DataFrame, ids: DataFrame, on: str, most: int = 1_000_000) -> DataFrame:
     """The rows of df whose `on` is in ids (one column of that name, cheap to read twice): without moving df if there are at most `most` ids, else by a shuffle."""
     if ids.limit(most + 1).count() <= most:

@@ -176,6 +176,15 @@ def test_byte_bpe_contracts_free_pairs_at_once(monkeypatch):
     assert all(type(x) is str for x in own.known.values()) and not own.odd
 
 
+def test_last_stage_has_executors_collect(spark):
+    """The heap that earlier stages filled is collected before the last stage's workers start."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = next(b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = old.getCollectionCount()
+    bytebpe.encoded(spark, frame(spark, ["a"]), "")
+    assert old.getCollectionCount() > before
+
+
 def test_token_counts_match_library(spark):
     from tokenizers import Tokenizer
 
