@@ -74,11 +74,9 @@ def _token(i: Column, k: int) -> Column:
 
 def _hashed(rows: DataFrame, k: int) -> DataFrame:
     """rows with t, the hashes of the line's tokens, for w."""
-    # a struct of k words has the hash of the k words; runs are zipped in generated code, so the function has one step a token
-    n = F.size("w") - (k - 1)
-    runs = F.arrays_zip(*[F.slice("w", j + 1, F.greatest(n, F.lit(0))) for j in range(k)])
-    tokens = F.when(n < 2, F.array(_token(F.lit(0), k))).otherwise(F.transform(runs, lambda run: F.xxhash64(run)))
-    return rows.withColumn("t", tokens).drop("w")
+    # indexing is cheaper than zipping runs into structs, whose fields are boxed and hashed by type one by one
+    firsts = F.slice("w", 1, F.greatest(F.size("w") - (k - 1), F.lit(1)))
+    return rows.withColumn("t", F.transform(firsts, lambda word, i: F.xxhash64(word, *[F.get(F.col("w"), i + j) for j in range(1, k)]))).drop("w")
 
 
 def _ranks(rows: DataFrame, k: int) -> DataFrame:
@@ -102,7 +100,8 @@ def _ordered(hashed: DataFrame, ranks: DataFrame) -> DataFrame:
     # a scalar subquery, used once, so that Spark puts it into the expression: a literal of RANKS numbers would stand in
     # the text of every plan built on it
     with_ranks = hashed.withColumn("ranks", ranks.select("rank").scalar())
-    token = F.transform("t", lambda h: F.get(F.col("ranks"), h.bitwiseAND(RANKS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 17)))
+    # a rank that can't be null makes an array that is sorted as plain longs, not as objects by a comparator
+    token = F.transform("t", lambda h: F.coalesce(F.get(F.col("ranks"), h.bitwiseAND(RANKS - 1).cast("int")), F.lit(0)).bitwiseOR(F.shiftrightunsigned(h, 17)))
     return with_ranks.select("doc_id", "h1", F.sort_array(F.array_distinct(token)).alias("t"))
 
 

@@ -104,6 +104,15 @@ def test_line_dedup(spark):
     assert all(out[i].kept == (None if t is None else "\n".join(kept[i])) for i, t in enumerate(texts))
 
 
+def test_line_tokens_are_sorted_as_plain_longs(spark):
+    """Neither a line's tokens nor their ranks can be null, so Spark sorts them without objects; a line of few words has one token."""
+    rows = linededup._rows(frame(spark, ["one two three four five six\none two", "six"]))
+    ordered = linededup._ordered(linededup._hashed(rows, 5), linededup._ranks(rows, 5))
+    assert not ordered.schema["t"].dataType.containsNull
+    assert sorted(len(r.t) for r in ordered.collect()) == [1, 1, 2]
+    assert "arrays_zip" not in linededup._hashed(rows, 5)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("all_pairs, copies", [(64, 1000), (1, 2)])
 def test_lines_are_split_once(spark, monkeypatch, all_pairs, copies):
     """Texts are cut into words in one pass; small bounds take the ways of large groups and of lines of many copies to the same result."""
