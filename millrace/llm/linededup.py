@@ -11,9 +11,9 @@ position on the overlap that is still possible, and confirmed on full sets.
 
 Equal lines are one class from the start. As a line needs one earlier match only, classes that share a token are first
 compared with that token's earliest document's lines (linear in the group); only classes that found no match are joined
-with all of the group. Groups of at most ALL_PAIRS rows are joined at once, and lines of more than COPIES copies are cut
-into tokens at their first place only. So a line that a third of all documents hold, as it is or with small changes, makes no pairs of
-all with all.
+with all of the group. Groups of at most ALL_PAIRS rows are joined at once, and lines with copies are cut into tokens at their
+first place only: all of them if their classes are at most FEW, else those of more copies, of more than COPIES in any case. So a
+line that a third of all documents hold, as it is or with small changes, makes no pairs of all with all.
 
 Defined cases: null text has no lines and stays null; empty text is one line without words; ties in order can't arise unless
 doc_id repeats, then equal (doc_id, line number) count as one place; very long lines and texts are taken whole; an empty
@@ -36,6 +36,8 @@ RANKS = 1 << 16
 ALL_PAIRS = 64
 #: A line with more copies than this is joined by its first place only.
 COPIES = 1000
+#: Up to so many classes, or documents that lose lines, are broadcast.
+FEW = 300_000
 #: Bound of a dictionary of word hashes, a file's.
 DICTIONARY_BYTES = 8 << 20
 #: Blanks within a line other than the space.
@@ -116,15 +118,30 @@ def _entries(rows: DataFrame, ranks: DataFrame, percent: int, k: int) -> DataFra
     return written(told.filter("lo < hi").groupBy("token", "h1", "np", "least", "size").agg(F.min("doc").alias("doc")), "entries")
 
 
-def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5, all_pairs: int = ALL_PAIRS, copies: int = COPIES) -> DataFrame:
+def _fewest_copies(place: DataFrame, most: int, few: int) -> int:
+    """The least number of copies, at most `most`, that no more than `few` classes exceed. At most `most` rows come to the driver."""
+    above = 0
+    for c, n in sorted(place.filter("c > 1").groupBy(F.least("c", F.lit(most + 1))).count().collect(), reverse=True):
+        above += n
+        if c <= most and above > few:
+            return c
+    return 1
+
+
+def _firsts(rows: DataFrame, place: DataFrame, copies: int) -> DataFrame:
+    """rows without the later places of lines that have more than `copies` copies."""
+    many = F.broadcast(place.filter(F.col("c") > copies).select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "at"))
+    return rows.join(many, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left").filter("at is null or at = struct(doc_id, no)").select(rows.columns)
+
+
+def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5, all_pairs: int = ALL_PAIRS, copies: int = COPIES, few: int = FEW) -> DataFrame:
     """docs: doc_id, text. (doc_id, no) of the lines to remove, written."""
     spark = docs.sparkSession
     rows = _rows(docs)
     place = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at")), "classes")
     release(spark)
-    # of a line with very many copies the first stands for all, so that no token has a row for each of them
-    many = place.filter(F.col("c") > copies).select("h1", "h2", "at")  # at most a row for `copies` lines
-    firsts = rows.join(F.broadcast(many), ["h1", "h2"], "left").filter("at is null or at = struct(doc_id, no)").select(rows.columns)
+    # of a line with copies the first stands for all, so that no token has a row for each of very many, and tokens are made once
+    firsts = _firsts(rows, place, _fewest_copies(place, copies, few))
     ranks = _ranks(firsts, k)
     entries = _entries(firsts, ranks, percent, k)
     release(spark, ranks)
@@ -145,16 +162,20 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5, all_pairs: int
         found = written(found, "candidates")
         release(spark)
         ids = found.select(F.col("a").alias("h1")).union(found.select("b")).distinct()
-        some = of_ids(rows.select("h1", "h2", "w"), ids, "h1").groupBy("h1", "h2").agg(F.first("w").alias("w"))
-        some = written(_hashed(some, k).join(place, ["h1", "h2"]).select("h1", "h2", "at", F.array_distinct("t").alias("t")), "sets")
+        # a class's words are taken from its first place: no copies are moved and grouped
+        chosen = of_ids(place.select("h1", "h2", "at"), ids, "h1")
+        if ids.limit(few + 1).count() <= few:
+            chosen = F.broadcast(chosen)
+        some = rows.join(chosen, ["h1", "h2"]).filter("at = struct(doc_id, no)").select("h1", "h2", "at", "w")
+        some = written(_hashed(some, k).select("h1", "h2", "at", F.array_distinct("t").alias("t")), "sets")
         release(spark)
 
         def cols(s: str) -> list[Column]:
             return [F.col("h1").alias(s), F.col("h2").alias(f"{s}2"), F.col("t").alias(f"t{s}"), F.col("at").alias(f"at{s}")]
 
         both = found.join(some.select(cols("a")), "a").join(some.select(cols("b")), "b")
-        common = F.size(F.array_intersect("ta", "tb"))
-        both = both.filter(100 * common >= percent * (F.size("ta") + F.size("tb") - common))
+        # common tokens >= percent / 100 of the union's, written with the intersection once: a filter evaluates it each time it stands there
+        both = both.filter((100 + percent) * F.size(F.array_intersect("ta", "tb")) >= percent * (F.size("ta") + F.size("tb")))
         a_first = F.col("ata") < F.col("atb")
         out = written(both.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("h1"), F.when(a_first, F.col("b2")).otherwise(F.col("a2")).alias("h2")).distinct(), "matched")
         release(spark, found, some)
@@ -169,15 +190,21 @@ def removed_lines(docs: DataFrame, percent: int = 75, k: int = 5, all_pairs: int
     known = reduce(DataFrame.union, matched).distinct().withColumn("m", F.lit(True))
     gone = written(place.join(known, ["h1", "h2"], "left").filter("c > 1 or m").select("h1", "h2", "at", F.coalesce("m", F.lit(False)).alias("m")), "repeated")
     release(spark, entries, place, *matched)
-    out = written(rows.select("doc_id", "no", "h1", "h2").join(gone, ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no"), "removed")
+    # classes are distinct, so that a partition's are few enough to be hashed
+    out = written(rows.select("doc_id", "no", "h1", "h2").join(gone.hint("shuffle_hash"), ["h1", "h2"]).filter("m or at <> struct(doc_id, no)").select("doc_id", "no"), "removed")
     release(spark, rows, gone)
     return out
 
 
+def _by_document(removed: DataFrame, few: int = FEW) -> DataFrame:
+    """doc_id, gone: the numbers of the removed lines of each document that loses any; sent to the texts if they are few, so that no text moves."""
+    gone = removed.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
+    return F.broadcast(gone) if removed.select("doc_id").distinct().limit(few + 1).count() <= few and removed.limit(10 * few + 1).count() <= 10 * few else gone
+
+
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and the kept text of docs (doc_id, text)."""
-    gone = removed.groupBy("doc_id").agg(F.collect_set("no").alias("gone"))
-    both = docs.select("doc_id", "text").join(gone, "doc_id", "left").withColumn("lines", F.split("text", "\n"))
+    both = docs.select("doc_id", "text").join(_by_document(removed), "doc_id", "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get(F.col("lines"), i)), "\n")
     return both.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"))
 
@@ -204,7 +231,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def stage(d: DataFrame) -> DataFrame:
         texts = d.select("doc_id", "text")
-        gone = removed_lines(texts).groupBy("doc_id").agg(F.collect_set("no").alias("no"))
+        gone = _by_document(removed_lines(texts)).withColumnRenamed("gone", "no")
         # the other columns travel in one struct, so that none of their names can clash
         both = d.select("doc_id", F.struct(*d.columns).alias("row")).join(gone, "doc_id", "left")
         lines = F.split("row.text", "\n")

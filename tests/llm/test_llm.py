@@ -136,6 +136,30 @@ def test_lines_are_split_once(spark, monkeypatch, all_pairs, copies):
     assert gone and got == gone
 
 
+def test_copies_of_lines_are_cut_once(spark, monkeypatch):
+    """Tokens are made of a line's first place only as long as its classes are few, a pair's common tokens are counted once, and texts that few lines leave aren't moved; with nothing that counts as few the result is the same."""
+    texts = [(i or None, f"{prose(90, 20)}\n{prose(200 + i, 20)}\n{prose(91, 40)} tail{i}", "en") for i in range(5)] + [(9, "a b\na b\na  b", "en")]
+    rows = linededup._rows(corpus(spark, texts))
+    place = rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "no")).alias("at"))
+    assert [linededup._fewest_copies(place, most, few) for most, few in ((1000, 9), (1000, 1), (1000, 0), (4, 0), (2, 0))] == [1, 2, 5, 2, 2]
+    assert sorted((r.doc_id or 0, r.no) for r in linededup._firsts(rows, place, 1).collect()) == [(0, 0), (0, 1), (0, 2)] + [(i, n) for i in range(1, 5) for n in (1, 2)] + [(9, 0), (9, 2)]
+    assert linededup._firsts(rows, place, 5).count() == rows.count()
+
+    docs, plans, write = corpus(spark, [(i or 7, t, x) for i, t, x in texts]), [], linededup.written
+
+    def noted(df, name, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name, **options)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    removed = linededup.removed_lines(docs)
+    assert [p.count("array_intersect(") for p in plans if "array_intersect(" in p] == [1]
+    assert "strategy=broadcast" in linededup.without_lines(docs, removed)._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.doc_id, r.no) for r in removed.collect()}
+    assert got == {(r.doc_id, r.no) for r in linededup.removed_lines(docs, few=0).collect()}
+    assert got == {(i, n) for i in (2, 3, 4, 7) for n in (0, 2)} | {(9, 1), (9, 2)}
+
+
 def test_language(spark):
     letters = {"aa": "abcde", "bb": "vwxyz", "cc": "lmnop"}
     r = random.Random(1)
